@@ -1,0 +1,50 @@
+"""The training-data queries: name, builder, and the SQL that must give the same rows where SQL can."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from . import knn
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers the decorated ``(spark, sf_dir) -> DataFrame`` under ``name``."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+_VECTORS = "v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM code_chunks WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0)"
+
+
+@query(
+    "p2_found",
+    f"""WITH {_VECTORS},
+p AS (SELECT a.id AS q, b.id AS n, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.92),
+r AS (SELECT q, n FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, n) <= 10)
+SELECT DISTINCT least(q, n) AS id_a, greatest(q, n) AS id_b FROM r""",
+)
+def p2_found(spark, sf_dir):
+    return knn.similar_pairs(table(spark, sf_dir, "code_chunks"))
+
+
+@query(
+    "p2_nearest_of_queries",
+    f"""WITH {_VECTORS},
+p AS (SELECT a.id AS query, b.id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)
+SELECT query, id, round(s, 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY s DESC, id)::INTEGER AS rank FROM p
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10""",
+)
+def p2_nearest_of_queries(spark, sf_dir):
+    chunks = table(spark, sf_dir, "code_chunks")
+    near = knn.exact_neighbours(chunks, chunks.where("id % 50 = 0"))
+    return near.select("query", "id", F.round("cosine", 6).alias("cosine"), "rank")
