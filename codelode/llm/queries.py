@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import knn
+from . import knn, neardup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,17 @@ def p2_nearest_of_queries(spark, sf_dir):
     chunks = table(spark, sf_dir, "code_chunks")
     near = knn.exact_neighbours(chunks, chunks.where("id % 50 = 0"))
     return near.select("query", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def _chunks(spark, sf_dir):
+    return table(spark, sf_dir, "code_chunks")
+
+
+@query("p6_found")
+def p6_found(spark, sf_dir):
+    return neardup.near_duplicate_pairs(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
+
+
+@query("p6_groups")
+def p6_groups(spark, sf_dir):
+    return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
