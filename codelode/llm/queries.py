@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import knn, neardup
+from . import knn, lookalike, neardup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,14 @@ def p6_found(spark, sf_dir):
 @query("p6_groups")
 def p6_groups(spark, sf_dir):
     return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
+
+
+@query("p10_found")
+def p10_found(spark, sf_dir):
+    return lookalike.same_looking_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("p10_forms")
+def p10_forms(spark, sf_dir):
+    forms = lookalike.consistent_forms(table(spark, sf_dir, "documents"))
+    return forms.select("doc_id", "form", (F.col("form") != F.col("text")).alias("rewritten"))
