@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import knn, lookalike, neardup
+from . import handwritten, knn, lookalike, neardup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,13 @@ def p10_found(spark, sf_dir):
 def p10_forms(spark, sf_dir):
     forms = lookalike.consistent_forms(table(spark, sf_dir, "documents"))
     return forms.select("doc_id", "form", (F.col("form") != F.col("text")).alias("rewritten"))
+
+
+@query("p3_found", handwritten.reference_sql() + " SELECT DISTINCT file_path FROM k WHERE kind <> 'hand-written'")
+def p3_found(spark, sf_dir):
+    return handwritten.not_handwritten(_chunks(spark, sf_dir))
+
+
+@query("p3_kinds", handwritten.reference_sql() + " SELECT project, language, kind, count(*) AS files FROM k GROUP BY ALL")
+def p3_kinds(spark, sf_dir):
+    return handwritten.classify_files(_chunks(spark, sf_dir)).groupBy("project", "language", "kind").agg(F.count("*").alias("files"))
