@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, knn, lookalike, neardup
+from . import handwritten, knn, lookalike, neardup, secrets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,13 @@ def p3_found(spark, sf_dir):
 @query("p3_kinds", handwritten.reference_sql() + " SELECT project, language, kind, count(*) AS files FROM k GROUP BY ALL")
 def p3_kinds(spark, sf_dir):
     return handwritten.classify_files(_chunks(spark, sf_dir)).groupBy("project", "language", "kind").agg(F.count("*").alias("files"))
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    return secrets.secret_lines(_chunks(spark, sf_dir))
+
+
+@query("p5_redacted")
+def p5_redacted(spark, sf_dir):
+    return secrets.redacted_chunks(_chunks(spark, sf_dir)).select("id", "file_path", "start_line", "content")
