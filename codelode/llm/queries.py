@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, knn, lookalike, neardup, secrets
+from . import handwritten, knn, lookalike, neardup, secrets, splitting
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,13 @@ def p5_found(spark, sf_dir):
 @query("p5_redacted")
 def p5_redacted(spark, sf_dir):
     return secrets.redacted_chunks(_chunks(spark, sf_dir)).select("id", "file_path", "start_line", "content")
+
+
+@query("p4_found", "SELECT DISTINCT id FROM code_chunks JOIN chunk_limits USING (language) WHERE length(content) > max_chars")
+def p4_found(spark, sf_dir):
+    return splitting.oversized_ids(_chunks(spark, sf_dir), table(spark, sf_dir, "chunk_limits"))
+
+
+@query("p4_pieces")
+def p4_pieces(spark, sf_dir):
+    return splitting.split_chunks(_chunks(spark, sf_dir), table(spark, sf_dir, "chunk_limits"))
