@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, knn, lookalike, neardup, secrets, splitting
+from . import handwritten, knn, lookalike, neardup, secrets, splitting, syntax
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,18 @@ def p4_found(spark, sf_dir):
 @query("p4_pieces")
 def p4_pieces(spark, sf_dir):
     return splitting.split_chunks(_chunks(spark, sf_dir), table(spark, sf_dir, "chunk_limits"))
+
+
+@query("p7_found")
+def p7_found(spark, sf_dir):
+    return syntax.invalid_files(_chunks(spark, sf_dir)).select("file_path").distinct()
+
+
+@query("p7_rates")
+def p7_rates(spark, sf_dir):
+    return syntax.invalid_rates(_chunks(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+@query("p7_diagnoses")
+def p7_diagnoses(spark, sf_dir):
+    return syntax.diagnoses(_chunks(spark, sf_dir)).where("edits > 0")
