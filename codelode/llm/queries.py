@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import handwritten, knn, lookalike, neardup, secrets, splitting, syntax
+from . import handwritten, knn, lookalike, mixing, neardup, packing, secrets, splitting, syntax
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,23 @@ def p7_rates(spark, sf_dir):
 @query("p7_diagnoses")
 def p7_diagnoses(spark, sf_dir):
     return syntax.diagnoses(_chunks(spark, sf_dir)).where("edits > 0")
+
+
+@query("p8_packing")
+def p8_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_limits"))
+
+
+@query("p8_summary")
+def p8_summary(spark, sf_dir):
+    return packing.container_summary(p8_packing(spark, sf_dir))
+
+
+@query("p9_mix")
+def p9_mix(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark, sf_dir):
+    return mixing.actual_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
