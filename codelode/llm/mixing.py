@@ -23,7 +23,7 @@ from .tokens import VOCABULARY, token_counts
 #: Undecided documents that fly together in one task.
 BLOCK = 4_000
 #: Documents of a source that are decided in the landing, besides the two that the flight leaves.
-RESERVE = 14
+RESERVE = 15
 
 
 def flight(p: list[float], tokens: list[int], seed: int) -> list[float]:
@@ -69,12 +69,13 @@ def landing(p: list[float], tokens: list[int]) -> list[int]:
 
 
 def reserve(p: list[float], tokens: list[int]) -> list[int]:
-    """Undecided units kept back for the landing: of middle to large sizes, so that their sums are dense."""
+    """Undecided units kept back for the landing: the largest, whose rounding costs most, and middle ones to fill in."""
     undecided = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (tokens[i], i))
-    n = len(undecided)
+    n, large = len(undecided), RESERVE // 2
     if n <= RESERVE:
         return undecided
-    return sorted({undecided[int(n * (0.3 + 0.65 * k / (RESERVE - 1)))] for k in range(RESERVE)})
+    middle = {undecided[int((n - large) * (0.3 + 0.65 * k / (RESERVE - large)))] for k in range(RESERVE - large)}
+    return sorted({*undecided[n - large :], *middle})
 
 
 def _fly(rows: DataFrame, turn: int, final: bool) -> DataFrame:
