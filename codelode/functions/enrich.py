@@ -44,14 +44,14 @@ def purpose(language: Column, content: Column) -> Column:
             found = found | F.contains(low, F.lit(word))
         return found
 
-    roles = [
+    roles = (  # of the JavaScript family, which is all source
         F.when(_role(language, content, schema.JS_COMPONENT), "react component"),
         F.when(_role(language, content, schema.JS_HOOK), "custom hook"),
         F.when(_role(language, content, schema.JS_TEST), "test block"),
         F.when(_role(language, content, "^export "), "exported api"),
-    ]
+    )
 
-    def tags(default: str, *rules: tuple[str, tuple[str, ...]]) -> Column:
+    def tags(default: str, *rules: tuple[str, tuple[str, ...]], roles: tuple[Column, ...] = ()) -> Column:
         joined = F.concat_ws("; ", *roles, *(F.when(holds(*words), tag) for tag, words in rules))
         return F.when(joined == "", F.lit(default)).otherwise(joined)
 
@@ -84,6 +84,7 @@ def purpose(language: Column, content: Column) -> Column:
                 ("function or callable block", ("def ", "function ", "=>")),
                 ("class definition", ("class ",)),
                 ("returns computed values", ("return",)),
+                roles=roles,
             )
         )
     )

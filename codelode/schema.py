@@ -14,7 +14,7 @@ CHUNK_SCHEMA = T.StructType(
         T.StructField("language", T.StringType(), False),
         T.StructField("category", T.StringType(), True),
         T.StructField("created_at", T.TimestampNTZType(), False),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), True),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), True),
     ]
 )
 METADATA_FIELDS = ["provider", "model", "dimensions"]
