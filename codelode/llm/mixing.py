@@ -62,6 +62,8 @@ def flight(p: list[float], tokens: list[int], seed: int) -> list[float]:
 def landing(p: list[float], tokens: list[int]) -> list[int]:
     """0 or 1 for each of a few units: of all choices the nearest to the token and document totals."""
     n = len(p)
+    if not n:
+        return []
     choice = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1
     size = np.asarray(tokens, dtype=np.float64)
     off = np.abs(choice @ size - size @ p) / max(size.mean(), 1.0) + np.abs(choice.sum(axis=1) - sum(p)) * 0.02
