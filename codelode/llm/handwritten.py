@@ -13,15 +13,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folders that hold other projects' code.
-VENDOR_FOLDERS = ["vendor", "_vendor", "node_modules", "bower_components", "third_party", "thirdparty", "3rdparty", "third-party", "external", "externals", "Godeps", "Pods", "site-packages", "jspm_packages"]
+VENDOR_FOLDERS = ["vendor", "_vendor", "node_modules", "bower_components", "third_party", "thirdparty", "3rdparty", "third-party", "external", "externals", "extern", "vendored", "subprojects", "Godeps", "Pods", "site-packages", "jspm_packages"]
 #: Names that generators and bundlers give to files.
 GENERATED_NAME = r"(_pb2(_grpc)?\.pyi?|\.pb(\.gw)?\.(go|cc|h|rb)|\.(generated|gen|g|designer)\.\w+|_generated\.\w+|_gen\.go|/zz_generated[^/]*)$"
 MINIFIED_NAME = r"(\.min\.\w+|[.-]bundle(\.[0-9a-f]+)?\.(js|css|mjs))$"
-#: A statement counts at the start of a comment line among a file's first ``HEADER_LINES`` lines.
-HEADER_LINES = 20
-_COMMENT = r"""^[ \t]*(?://+|#+|--+|/?\*+|<!--|;+|"{3}|'{3})?!?[ \t]*"""
-GENERATED_HEADER = _COMMENT + r"(?:code generated by .*do not edit|auto-?generated (?:file|from|by)\b|automatically generated|this file (?:is|was) (?:auto-?|automatically )?generated|@generated\b|<auto-generated\b|generated by the protocol buffer compiler|source: \S+\.proto\b)"
-VENDORED_HEADER = _COMMENT + r"(?:vendored from\b|imported snapshot of\b|copied verbatim from\b|upstream: ?https?://)"
+#: A file's statement about itself is a comment line among its first ``HEADER_LINES`` or last ``FOOTER_LINES`` lines.
+HEADER_LINES, FOOTER_LINES = 20, 3
+_MARK = r"""^[ \t]*(?://+|#+|--+|/?\*+|<!--|;+|%+|"{3}|'{3})?!?[ \t]*"""
+_MADE = r"(?:generated|produced|emitted|compiled|transpiled|machine-made)"
+_TOOL = r"(?:auto(?:matically)?|machine|tool|computer|script|compiler)"
+GENERATED_STATEMENT = _MARK + "(?:" + "|".join(
+    [
+        rf"(?:code|file|source|module|types?|bindings?|stubs?|client|parser|schema)s? {_MADE}\b",
+        rf"{_TOOL}[- ]?(?:generated|written|produced|created|made|built|emitted|compiled|rendered|derived)\b",
+        r"@(?:auto-?)?generated\b|<(?:auto-?)?generated\b",
+        rf"{_MADE} (?:automatically |code |file |source )?(?:by|from|with|using|via|on|at|code|file)\b",
+        r"(?:output|result|product) of \S",
+        rf"(?:this|the) (?:\w+ ){{0,2}}(?:file|code|source|module|class|document)s? (?:is|was|are|were|has been|have been) (?:\w+ )?(?:{_TOOL}[- ])?{_MADE}\b",
+        rf"(?:this|the) (?:\w+ ){{0,2}}(?:file|code|source|module|class|document)s? (?:is|was|are|were|has been|have been) {_TOOL}[- ]?\w+\b",
+        r"(?:please )?(?:do not|don'?t|never) (?:manually |hand-?)?(?:edit|modify|change|touch|alter)\b",
+        r"(?:any |all |your |manual |local |hand )*(?:edits|changes|modifications)(?: \w+){0,4} (?:lost|overwritten|discarded|replaced|reverted)\b",
+        r"(?:to )?(?:regenerate|re-generate)(?: \w+)? (?:with|using|by|via|run)\b",
+        r"source: \S+\.(?:proto|thrift|idl|graphql|fbs|avsc|avdl|xsd|wsdl|g4|schema|asn1?)\b",
+        r"checksum [0-9a-f]{16,} \w+ \S+\.\w+",
+        r"[#@] ?sourceMappingURL=",
+        r"(?:archivo|fichero|c[oó]digo) (?:fue |es )?(?:generado|producido|creado) (?:autom|por|a partir)|generado (?:autom|por|a partir)|no (?:editar|modificar)\b",
+    ]
+) + ")"
+VENDORED_STATEMENT = _MARK + "(?:" + "|".join(
+    [
+        r"(?:vendored|imported|copied|forked|mirrored|adopted|taken|borrowed|synced|pulled|extracted|bundled|cloned|ported|reproduced|lifted)(?: [\w,'-]+){0,4} (?:from|of)\b",
+        r"(?:(?:this|the) (?:\w+ ){0,2}(?:file|code|source|directory|module) (?:is|was|has been) )(?:a )?(?:vendored|copied|imported|taken|forked|copy|snapshot|mirror|borrowed)\b",
+        r"(?:imported |vendored |verbatim |unmodified |local |frozen )?(?:snapshot|copy|mirror|fork|import) of \S+",
+        r"(?:upstream|origin|original source)(?: \w+)?: ?\S+",
+        r"third[- ]party (?:code|library|source|file|module|component)",
+        r"keep in (?:step|sync) with upstream",
+        r"@?(?:license|preserve)?:? ?[\w@./-]+ v?\d+\.\d+[\w.+-]* ?[|,;·–—-] ?(?:\(c\)|©|copyright|licen[cs]ed?|released|mit\b|bsd\b|apache\b)",
+    ]
+) + ")"
+#: Lines with these are templates of statements or deny what they mention.
+NO_STATEMENT = r"(?i)%[sdvq]\b|\{\{|\$\{|\{\w*\}|<%|\bunlike\b|\bhand-?written\b|(?:kept|written|maintained|made|edited) by hand\b|\bnot (?:auto-?)?(?:generated|vendored|copied)\b|hecho a mano"
 
 #: language -> white space share below and mean line length above which a file is minified, share of digits
 #: above which it is data, share of long encoded runs above which it is data, least characters for either.
@@ -51,7 +82,10 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
     """
     text = F.coalesce("content", F.lit(""))
     lines = F.split(text, "\n", -1)
-    head = F.array_join(F.slice(lines, 1, F.greatest(F.lit(HEADER_LINES + 1) - F.coalesce("start_line", F.lit(1)), F.lit(0))), "\n")
+    first = F.coalesce("start_line", F.lit(1))
+    head = F.slice(lines, 1, F.greatest(F.lit(HEADER_LINES + 1) - first, F.lit(0)))
+    tail = F.slice(lines, -F.least(F.size(lines), F.lit(FOOTER_LINES)), FOOTER_LINES)
+    says = lambda part, pattern: F.exists(part, lambda x: x.rlike("(?i)" + pattern) & ~x.rlike(NO_STATEMENT)).cast("int")
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     facts = F.struct(
         F.length(text).alias("chars"),
@@ -62,18 +96,21 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
         without("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("letters"),
         F.regexp_count(text, F.lit(NUMBER)).alias("numbers"),
         (F.length(text) - F.length(F.regexp_replace(text, ENCODED_RUN, ""))).alias("encoded"),
-        head.rlike("(?im)" + GENERATED_HEADER).cast("int").alias("generated"),
-        head.rlike("(?im)" + VENDORED_HEADER).cast("int").alias("vendored"),
+        says(head, GENERATED_STATEMENT).alias("generated"),
+        says(head, VENDORED_STATEMENT).alias("vendored"),
+        # of a file's last chunk, which has the greatest line number
+        F.struct(first.alias("at"), says(tail, GENERATED_STATEMENT).alias("generated"), says(tail, VENDORED_STATEMENT).alias("vendored")).alias("last"),
     )
     rows = chunks.where("file_path IS NOT NULL").select("project", "file_path", "revision", "id", "language", facts.alias("f"))
     key = ["project", "file_path", "revision"]
     once = rows.groupBy("id", *key).agg(F.max("f").alias("f"), F.max("language").alias("language"))
     sums = [F.sum(f"f.{c}").alias(c) for c in ("chars", "lines", "space", "digits", "letters", "numbers", "encoded")]
-    maxima = [F.max(f"f.{c}").alias(c) for c in ("longest", "generated", "vendored")]
+    maxima = [F.max(f"f.{c}").alias(c) for c in ("longest", "generated", "vendored", "last")]
     revisions = once.groupBy(*key).agg(F.max("language").alias("language"), *sums, *maxima)
     names = [c for c in revisions.columns if c not in key]
     top = revisions.groupBy("project", "file_path").agg(F.max(F.struct("revision", *names)).alias("r"))
     flat = top.select("project", "file_path", *(f"r.{c}" for c in names))
+    flat = flat.withColumns({c: F.greatest(c, f"last.{c}") for c in ("generated", "vendored")})
     of = lambda c: F.col(c) / F.greatest("chars", F.lit(1))
     return flat.select(
         "project", "file_path", "language", "chars", "lines", "longest", "generated", "vendored",
@@ -87,8 +124,8 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
 def classify_files(chunks: DataFrame) -> DataFrame:
     """``project, file_path, language, kind`` with ``kind`` ``vendored``, ``generated``, ``minified``, ``data`` or ``hand-written``.
 
-    The first that holds, in this order. A single long line, or words about generated code elsewhere than
-    in a header, make no file anything but hand-written.
+    The first that holds, in this order. A single long line, or words about generated code that are no
+    statement at a file's start or end, make no file anything but hand-written.
     """
     path = F.concat(F.lit("/"), F.col("file_path"))
     inside = path.rlike("/(" + "|".join(VENDOR_FOLDERS) + ")/")
@@ -125,13 +162,19 @@ def reference_sql() -> str:
 
     less = lambda chars: f"length(t) - length(translate(t, {chars}, ''))"
     letters = "'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'"
-    head = f"array_to_string(list_slice(string_split(t, chr(10)), 1, greatest({HEADER_LINES} + 1 - start_line, 0)), chr(10))"
+    split = "string_split(t, chr(10))"
+    parts = f"[list_slice({split}, 1, greatest({HEADER_LINES} + 1 - start_line, 0)), CASE WHEN start_line = max(start_line) OVER (PARTITION BY project, file_path) THEN {split}[-{FOOTER_LINES}:] ELSE [] END]"
+
+    def says(pattern: str) -> str:
+        return f"max((len(list_filter(said, lambda x: regexp_matches(x, {quote('(?i)' + pattern)}) AND NOT regexp_matches(x, {quote(NO_STATEMENT)}))) > 0)::INT)"
+
     return f"""WITH one AS (SELECT DISTINCT id, project, file_path, revision, start_line, language, coalesce(content, '') AS t FROM code_chunks WHERE file_path IS NOT NULL),
-top AS (SELECT * FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path)),
+cur AS (SELECT * FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path)),
+top AS (SELECT *, flatten({parts}) AS said FROM cur),
 f AS (SELECT project, file_path, max(language) AS language, sum(length(t)) AS chars, sum(len(string_split(t, chr(10)))) AS lines,
  sum({less("' ' || chr(9) || chr(13) || chr(10)")}) AS space, sum({less("'0123456789'")}) AS digits, sum({less(letters)}) AS letters,
  sum(len(regexp_extract_all(t, {quote(NUMBER)}))) AS numbers, sum(length(t) - length(regexp_replace(t, {quote(ENCODED_RUN)}, '', 'g'))) AS encoded,
- max(regexp_matches({head}, {quote("(?im)" + GENERATED_HEADER)})::INT) AS generated, max(regexp_matches({head}, {quote("(?im)" + VENDORED_HEADER)})::INT) AS vendored
+ {says(GENERATED_STATEMENT)} AS generated, {says(VENDORED_STATEMENT)} AS vendored
  FROM top GROUP BY ALL),
 k AS (SELECT file_path, project, language, CASE
  WHEN regexp_matches('/' || file_path, '/({"|".join(VENDOR_FOLDERS)})/') OR vendored > 0 THEN 'vendored'

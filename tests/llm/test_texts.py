@@ -32,7 +32,14 @@ MINIFIED = "".join(f"function a{i}(b,c){{return b.x?c(b.y,{i}):d[{i}]}}" for i i
         ("/r/a.go", "/*\n * Code generated by xgen 1.2. DO NOT EDIT.\n */\n" + CODE, "go", "generated"),
         ("/r/a.go", "// unlike the auto-generated one this is kept by hand\n" + CODE, "go", "hand-written"),
         ("/r/a.go", 'const x = "// Code generated by %s. DO NOT EDIT."\n' + CODE, "go", "hand-written"),
-        ("/r/a.go", CODE + "// Code generated by xgen. DO NOT EDIT.\n", "go", "hand-written"),
+        ("/r/a.go", CODE + "// Code generated by xgen. DO NOT EDIT.\n" + CODE, "go", "hand-written"),
+        ("/r/a.go", CODE + "// Code generated by xgen. DO NOT EDIT.", "go", "generated"),
+        ("/r/a.go", "// DO NOT MODIFY: output of x for y\n" + CODE, "go", "generated"),
+        ("/r/a.py", "# This file was automatically produced by x-cli; do not modify by hand.\na = 1\n", "python", "generated"),
+        ("/r/a.py", "# Fichero generado automáticamente; no editar.\na = 1\n", "python", "generated"),
+        ("/r/a.js", "// Copied verbatim from x 1.2 (BSD-3-Clause); local changes are not allowed\na = 1\n", "javascript", "vendored"),
+        ("/r/a.js", "// xlib v4.17.10 | (c) 2019 the xlib authors | MIT\na = 1\n", "javascript", "vendored"),
+        ("/r/a.js", "// This file was written by hand, not generated.\na = 1\n", "javascript", "hand-written"),
         ("/r/x_pb2.py", "a = 1\n", "python", "generated"),
         ("/r/x.min.js", MINIFIED, "javascript", "minified"),
         ("/r/dist/x.js", MINIFIED, "javascript", "minified"),
