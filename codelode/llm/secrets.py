@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,9 @@ _SCHEME = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _USERPASS = re.compile(r"(?:^|\s)(?:-u|--user|--proxy-user|-p|--password|--pass|--token|--api-key|--secret)[ =]+(\"[^\"]*\"|'[^']*'|[^\s\"']+)")
 _STRING = re.compile(r"\"\"\"|'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
+_QUOTED = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"
+#: Literals joined by an operator, over line ends too.
+_CHAIN = re.compile(rf"{_QUOTED}(?:\s*(?:\+|\.(?=\s*[\"'])|\\?\n(?=\s*[\"']))\s*{_QUOTED})+")
 _CONTINUES = re.compile(r"\s*(?:\+|\.|\|\||\\|&)?\s*$")
 #: ``name op`` right before a literal, or a key in quotes with its separator.
 _BEFORE = re.compile(r"([\w.$@\-]+(?:\[[\w\"']+\])?|\"[^\"\n]{1,80}\"|'[^'\n]{1,80}'|`[^`\n]{1,80}`|[\w.]+\[\"[^\"\n]+\"\])\s*(?::\s*[\w.<>\[\]|?* ]+?)?\s*(:=|=>|\?\?=|\|\|=|==|!=|=|:|,)\s*[\(\[]?\s*[rbfuRBFU]{0,2}$")
@@ -63,7 +67,7 @@ _INLINE_ENV = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*)=([^\s\"'`;|&)]+)")
 _UNQUOTED = {"yaml", "properties", "toml", "ini", "shell", "dockerfile", "markdown", "config", ""}
 
 #: What a chunk must hold for the tokeniser to look at it, as a Java pattern.
-CANDIDATE = r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|://[^\s/]*:[^\s]*@|BEGIN [A-Z0-9 ]*PRIVATE|\b(?:basic|bearer) +[A-Za-z0-9+/=_.-]{8}|_(?:live|sk|pat)_|pat-|\b[a-z]{2}[0-9]\.[A-Za-z0-9]{20}|\beyJ[A-Za-z0-9_-]{8,}\.|AKIA|\bgh[pousr]_|xox[abprs]-"
+CANDIDATE = r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|:[^\s@]{3,}@[\w\[.-]|(?:-u|--user|--proxy-user)[ =]+\S+:|BEGIN [A-Z0-9 ]*PRIVATE|\b(?:basic|bearer) +[A-Za-z0-9+/=_.-]{8}|_(?:live|sk|pat)_|pat-|\b[a-z]{2}[0-9]\.[A-Za-z0-9]{20}|\beyJ[A-Za-z0-9_-]{8,}\.|AKIA|\bgh[pousr]_|xox[abprs]-"
 
 
 def is_credential_name(name: str) -> bool:
@@ -137,6 +141,22 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
         if b > a and not any(x <= a < y or x < b <= y for x, y in found):
             found[a, b] = (i, kind)
 
+    for chain in _CHAIN.finditer(content):
+        # what only shows when the pieces are joined: places in the joined text are traced back to the pieces
+        pieces = [(chain.start() + m.start() + 1, m.group()[1:-1]) for m in re.finditer(_QUOTED, chain.group())]
+        whole = "".join(t for _, t in pieces)
+        places = [(m.span(2), "url password") for m in _URL.finditer(whole) if _url_password(m.group(2))]
+        places += [(m.span(), "token") for m in _SHAPES.finditer(whole) if re.search(r"\d", m.group()) and _varied(m.group())]
+        places += [(m.span(2), "basic pair") for m in _SCHEME.finditer(whole) if m.group(1) == "Basic" and _basic(m.group(2))]
+        for (a, b), kind in places:
+            at = 0
+            for start, piece in pieces:
+                lo, hi = max(a, at), min(b, at + len(piece))
+                if lo < hi:
+                    i = bisect_right(starts, start + lo - at) - 1
+                    add(i, start + lo - at - starts[i], start + hi - at - starts[i], kind)
+                    kind = kind.rstrip("+") + "+"
+                at += len(piece)
     carry: tuple[str, str] | None = None  # the name that a literal on the next line belongs to, or "+" for a further piece
     pem_until = -1
     for i, line in enumerate(lines):
@@ -179,7 +199,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
             carry = None
             continue
         for m in _URL.finditer(line):
-            if m.group(2) and not _PLACEHOLDER.match(m.group(2)) and not re.match(r"^[$%{<]", m.group(2)) and len(m.group(2)) >= 3 and not m.group(2).isupper():
+            if _url_password(m.group(2)):
                 add(i, m.start(2), m.end(2), "url password")
         for m in _SCHEME.finditer(line):
             code = m.group(2)
@@ -269,6 +289,10 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
     return sorted((i, a, b, kind) for (a, b), (i, kind) in found.items())
 
 
+def _url_password(v: str) -> bool:
+    return len(v) >= 3 and not v.isupper() and not _PLACEHOLDER.match(v) and not re.match(r"^[$%{<]", v)
+
+
 def _varied(v: str) -> bool:
     return len(set(v)) >= 8
 

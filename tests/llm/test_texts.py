@@ -157,6 +157,13 @@ def test_secrets_of_several_lines():
     assert secrets.redact(joined, secrets.find_secrets(joined, "go")) == 'apiKey := "REDACTED" +\n\t""\nx := 1'
 
 
+def test_secrets_that_only_the_joined_literals_show():
+    text = 'u := "mysql://svc_ba" +\n\t"dge:signal43199x@vault-6.example.test:6006/driver"\nt = f("zk1.vHs4HVIQM6" + "eabzlxpIf43yKOjP")'
+    spans = secrets.find_secrets(text, "go")
+    assert [i for i, _, _, kind in spans if not kind.endswith("+")] == [1, 2]
+    assert secrets.redact(text, spans) == 'u := "mysql://svc_ba" +\n\t"dge:REDACTED@vault-6.example.test:6006/driver"\nt = f("REDACTED" + "")'
+
+
 def test_secret_rows(spark):
     rows = [chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(2, "a", None, "go"), chunk(3, "a", "", None), chunk(None, "a", 'password = "Abc12345!"', "python"), chunk(4, "a", "y" * 300_000 + '\ntoken = "Abc12345678"', "python")]
     frame = spark.createDataFrame(rows, CHUNKS)
