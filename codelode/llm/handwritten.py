@@ -62,7 +62,10 @@ THRESHOLDS = {
     "typescript": (0.07, 100.0, 0.25, 0.5, 300),
     "css": (0.08, 100.0, 0.30, 0.5, 300),
     "json": (0.02, 400.0, 0.35, 0.5, 300),
-    "properties": (0.01, 400.0, 0.40, 0.8, 300),
+    "properties": (0.01, 400.0, 0.40, 0.8, 300),  # settings hold digests and keys beside little text
+    "yaml": (0.02, 400.0, 0.45, 0.8, 300),
+    "toml": (0.02, 400.0, 0.45, 0.8, 300),
+    "dockerfile": (0.02, 400.0, 0.45, 0.8, 300),
     "markdown": (0.02, 400.0, 0.40, 0.8, 300),
 }
 ENCODED_RUN = r"[A-Za-z0-9+/=]{40,}"
