@@ -151,7 +151,8 @@ def actual_shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     used = drawn.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("repeats").alias("copies"), F.max("repeats").alias("most_repeats"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens")
     )
-    whole = used.agg(F.sum("tokens").alias("whole"))
-    joined = targets.join(used, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    used = durable(used)  # a row per source
+    whole = F.lit(used.agg(F.sum("tokens")).first()[0])
+    joined = targets.join(used, "source", "left").withColumn("whole", whole)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("source", "target_share", "max_repeats", zero("documents"), zero("copies"), zero("most_repeats"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))

@@ -27,6 +27,8 @@ from .tokens import VOCABULARY, token_counts
 SHARD_CONTAINERS, SHARD_ITEMS = 300, 12_000
 #: Nodes of a search beyond two a container, completions looked at in a node, steps of their enumeration.
 NODES, WIDTH, STEPS = 150, 6, 60
+#: Kinds of container at most; every document is packed once for each.
+KINDS = 64
 #: A container with more room than this share of its capacity is opened again.
 OPEN_SHARE = 0.002
 
@@ -237,8 +239,14 @@ def items_of(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     """
     cap = F.col("capacity")
     pieces = F.greatest(F.ceil(F.col("size") / cap), F.lit(1)).cast("int")
-    limits = limits.where("capacity_tokens > 0 AND container IS NOT NULL").groupBy("container").agg(F.min("capacity_tokens").cast("bigint").alias("capacity"))
-    every = sizes.select("doc_id", F.col("tokens").alias("size")).crossJoin(F.broadcast(limits))  # three rows, one per container
+    kinds = limits.where("capacity_tokens > 0 AND container IS NOT NULL").groupBy("container").agg(F.min("capacity_tokens").cast("bigint").alias("capacity"))
+    known = sorted(tuple(r) for r in kinds.limit(KINDS + 1).collect())
+    if len(known) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of container")
+    if not known:
+        return sizes.sparkSession.createDataFrame([], "container string, capacity bigint, doc_id bigint, piece_no int, token_from bigint, tokens bigint")
+    each = F.array(*(F.struct(F.lit(name).alias("container"), F.lit(size).cast("bigint").alias("capacity")) for name, size in known))
+    every = sizes.select("doc_id", F.col("tokens").alias("size"), F.explode(each).alias("kind")).select("kind.*", "doc_id", "size")
     cut = every.select("container", "capacity", "doc_id", "size", F.explode(F.sequence(F.lit(1), pieces)).alias("piece_no"))
     start = (F.col("piece_no") - 1) * cap
     return cut.select("container", "capacity", "doc_id", "piece_no", start.alias("token_from"), F.least(F.col("size") - start, cap).alias("tokens"))
