@@ -15,9 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
+#: Cells of the filter that keeps contents of files not asked for out of the shuffle: at most so many rows are broadcast.
+FILTER_CELLS = 1 << 18
+
 KEY = ["project", "file_path"]
 REVISION = [*KEY, "revision", "created_at"]
 
@@ -72,12 +77,13 @@ def processed_ledger(log: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Equality of the columns, NULL being equal to NULL."""
+def _having(left: DataFrame, right: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of ``left`` that have (or, with ``left_anti``, have not) a row in ``right`` equal in the columns, NULL being equal to NULL."""
+    other = right.select(*(F.col(c).alias(f"_{c}") for c in columns))
     condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for c in columns:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(other, condition, how)
 
 
 def text_fingerprints(chunks: DataFrame) -> DataFrame:
@@ -124,29 +130,33 @@ def due_chunks(chunks: DataFrame, log: DataFrame, runs: DataFrame, trust_created
     if trust_created_at:
         horizon = reread_horizon(runs).select("project", "horizon")
         slim = slim.join(horizon, "project", "left").where("horizon IS NULL OR created_at >= horizon").drop("horizon")
-    revisions = slim.select(*REVISION).distinct()
+    revisions = durable(slim.select(*REVISION).distinct())  # read four times below, and small beside the chunks
     current = (
         revisions.groupBy(*KEY)
         .agg(F.max(F.struct("revision", "created_at")).alias("top"))
         .select(*KEY, "top.revision", "top.created_at")
     )
-    ledger = processed_ledger(log, runs)
-    new = current.join(ledger, _same(current, ledger, [*KEY, "created_at"]), "left_anti")
+    ledger = durable(processed_ledger(log, runs))
+    new = durable(_having(current, ledger, [*KEY, "created_at"], "left_anti"))
 
     # Texts are read only for files whose current revision is new and which have a logged earlier one.
-    now = new.select(*KEY, F.col("revision").alias("now_revision"))
-    earlier = revisions.join(ledger, _same(revisions, ledger, [*KEY, "created_at"]), "left_semi")
+    now = new.select(F.col("project").alias("_project"), F.col("file_path").alias("_file_path"), F.col("revision").alias("now_revision"))
+    same_file = F.col("project").eqNullSafe(F.col("_project")) & F.col("file_path").eqNullSafe(F.col("_file_path"))
     older = F.col("revision").isNull() & F.col("now_revision").isNotNull() | (F.col("revision") < F.col("now_revision"))
-    earlier = earlier.join(now, _same(earlier, now, KEY)).where(older).select(*(earlier[c] for c in REVISION))
-    rewritten = new.join(earlier, _same(new, earlier, KEY), "left_semi")
+    earlier = durable(_having(revisions, ledger, [*KEY, "created_at"]).join(now, same_file).where(older).select(*REVISION))
+    rewritten = _having(new, earlier, KEY)
     wanted = earlier.union(rewritten.select(*REVISION))
+    wanted = durable(wanted)
+    # a first, inexact filter of bounded size lets few contents reach the shuffle of the exact one
+    cell = F.pmod(F.xxhash64(*KEY), F.lit(FILTER_CELLS))
+    cells = wanted.select(cell.alias("cell")).distinct()
     texts = chunks.where("id IS NOT NULL").select("id", *REVISION, "content", "start_line")
-    prints = text_fingerprints(texts.join(wanted, _same(texts, wanted, REVISION), "left_semi"))
-    old = prints.join(earlier, _same(prints, earlier, REVISION), "left_semi").select(*KEY, "fp")
-    unchanged = prints.join(rewritten, _same(prints, rewritten, REVISION), "left_semi")
-    unchanged = unchanged.join(old, _same(unchanged, old, [*KEY, "fp"]), "left_semi").select(*REVISION)
-    due = new.join(unchanged, _same(new, unchanged, REVISION), "left_anti")
-    return slim.join(due, _same(slim, due, REVISION), "left_semi").select("id").distinct()
+    texts = texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
+    prints = durable(text_fingerprints(_having(texts, wanted, REVISION)))
+    old = _having(prints, earlier, REVISION).select(*KEY, "fp")
+    unchanged = _having(_having(prints, rewritten, REVISION), old, [*KEY, "fp"]).select(*REVISION)
+    due = _having(new, unchanged, REVISION, "left_anti")
+    return _having(slim, due, REVISION).select("id").distinct()
 
 
 def due_revisions(chunks: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
@@ -188,12 +198,10 @@ class IncrementalRun:
         taken = due_revisions(self.chunks, log, runs)
         if self.project is not None:
             taken = taken.where(F.col("project") == self.project)
-        from ..session import durable
-
         taken = durable(taken)  # what is logged is what was handed out, whatever arrives meanwhile
         kind = {f.name: f.dataType for f in log.schema}
         keys = taken.select(*KEY, F.col("file_created_at").alias("created_at"))
-        work(self.chunks.join(keys, _same(self.chunks, keys, [*KEY, "created_at"]), "left_semi"))
+        work(_having(self.chunks, keys, [*KEY, "created_at"]))
         entry = taken.select(F.lit(self.run_id).cast(kind["run_id"]).alias("run_id"), "project", "file_path", "file_created_at", "chunk_count")
         entry.withColumn("logged_at", F.current_timestamp().cast(kind["logged_at"])).write.mode("append").parquet(self.log_path)
         n = taken.count()

@@ -13,7 +13,6 @@ from ..functions import text
 from ..functions.classify import is_semantic
 from ..functions.enrich import semantic_content
 from ..operators import chunking, evaluate, ranking, search
-from ..operators.incremental import _same
 from ..providers import Provider, embed_column, provider_status, resolve_provider
 from ..session import durable
 from ..sources import files
@@ -194,4 +193,4 @@ class Engine:
         return name, hits, evaluate.hit_rates(hits)
 
 
-__all__ = ["Engine", "Found", "_same", "chunk_id", "payload_rows", "search_modes"]
+__all__ = ["Engine", "Found", "chunk_id", "payload_rows", "search_modes"]
