@@ -11,6 +11,7 @@ from .. import schema
 from ..functions.classify import category_or_default, is_semantic
 from ..functions.text import like_ascii
 from ..functions.vectors import cosine
+from ..session import durable
 
 #: Rows of a block of vectors, and queries that meet it at once.
 BLOCK_ROWS, QUERY_ROWS = 32_768, 256
@@ -35,6 +36,21 @@ def semantic_topk(chunks: DataFrame, vector: list[float], k: int = schema.CANDID
     return ordered.limit(k) if k > 0 else ordered
 
 
+def unique_topk(chunks: DataFrame, vector: list[float], k: int = schema.CANDIDATES) -> DataFrame:
+    """As ``semantic_topk`` over rows of which some are delivered several times: ``k`` different ids.
+
+    The head of the ranking is kept and counted; only if copies fill it is a longer one taken. No row
+    outside of it is shuffled.
+    """
+    head = 2 * k
+    while True:
+        top = durable(semantic_topk(chunks, vector, head))
+        ids = top.select("id").distinct().count()
+        if ids >= k or top.count() < head:
+            return top.dropDuplicates(["id"]).orderBy(F.desc("score"), "id").limit(k)
+        head *= 4
+
+
 def batch_topk(chunks: DataFrame, queries: DataFrame, k: int = schema.CANDIDATES, by: str = "project") -> DataFrame:
     """``query_id, id, score, rank``: for each query the ``k`` most similar chunks with the same ``by`` value.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import incremental
-from ..sources.tables import table
+from ..sources.tables import table, take_once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -129,8 +129,12 @@ _VECTOR = "v AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 
 
 def _stored(spark, sf_dir, *columns):
-    """The chunk table with ids that were delivered twice taken once; only the columns named are read."""
-    return table(spark, sf_dir, "code_chunks").select("id", *columns).dropDuplicates(["id"])
+    """The chunk table as delivered; only the columns named are read.
+
+    Some ids are delivered twice, with equal rows. Each query takes them once where its rows are narrow, so
+    that no content or vector is shuffled for it.
+    """
+    return table(spark, sf_dir, "code_chunks").select("id", *columns)
 
 
 def _vector(spark, sf_dir):
@@ -145,7 +149,7 @@ SELECT id, file_path, start_line, end_line, round(score, 6) AS score FROM s ORDE
 )
 def semantic_topk(spark, sf_dir):
     rows = _stored(spark, sf_dir, "file_path", "start_line", "end_line", "language", "category", "embedding")
-    top = search.semantic_topk(rows, _vector(spark, sf_dir))
+    top = search.unique_topk(rows, _vector(spark, sf_dir))
     return top.select("id", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"))
 
 
@@ -156,24 +160,24 @@ SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {sche
 )
 def semantic_dim_guard(spark, sf_dir):
     rows = _stored(spark, sf_dir, "language", "category", "embedding")
-    return search.semantic_topk(rows, _vector(spark, sf_dir)[:32]).select("id", F.round("score", 6).alias("score"))
+    return search.unique_topk(rows, _vector(spark, sf_dir)[:32]).select("id", F.round("score", 6).alias("score"))
 
 
 @query("cosine_zero_guard", f"WITH {_STORED}, {_VECTOR} SELECT id, round({_cosine('embedding', 'q')}, 6) AS score FROM c, v")
 def cosine_zero_guard(spark, sf_dir):
     asked = F.array(*(F.lit(float(x)) for x in _vector(spark, sf_dir)))
-    return _stored(spark, sf_dir, "embedding").select("id", F.round(vectors.cosine(F.col("embedding"), asked), 6).alias("score"))
+    return _stored(spark, sf_dir, "embedding").select("id", F.round(vectors.cosine(F.col("embedding"), asked), 6).alias("score")).distinct()
 
 
 @query("semantic_category_filter", f"WITH {_STORED} SELECT project, {_category_default('category', 'language')} AS category, count(*) AS chunks FROM c WHERE {_SEMANTIC} GROUP BY ALL")
 def semantic_category_filter(spark, sf_dir):
     rows = search.semantic_rows(_stored(spark, sf_dir, "project", "language", "category", "embedding"))
-    return rows.groupBy("project", "category").agg(F.count("*").alias("chunks"))
+    return rows.select("id", "project", "category").distinct().groupBy("project", "category").agg(F.count("*").alias("chunks"))
 
 
 @query("category_default", f"WITH {_STORED} SELECT id, {_category_default('category', 'language')} AS category FROM c")
 def category_default(spark, sf_dir):
-    return _stored(spark, sf_dir, "category", "language").select("id", classify.category_or_default(F.col("category"), F.col("language")).alias("category"))
+    return _stored(spark, sf_dir, "category", "language").select("id", classify.category_or_default(F.col("category"), F.col("language")).alias("category")).distinct()
 
 
 def _like_sql(q: str) -> str:
@@ -184,7 +188,7 @@ def _like_sql(q: str) -> str:
 
 def _text(spark, sf_dir, q):
     rows = _stored(spark, sf_dir, "file_path", "start_line", "end_line", "language", "category", "content")
-    return search.text_search(rows, q).select("id", "file_path", "start_line", "end_line", "category")
+    return search.text_search(rows, q).select("id", "file_path", "start_line", "end_line", "category").distinct()
 
 
 @query("text_search", _like_sql("Retry") + f" ORDER BY id LIMIT {schema.RESULTS}")
@@ -213,6 +217,8 @@ _STATS = "count(DISTINCT file_path) AS files, coalesce(sum(CASE WHEN embedding I
 def index_statistics(rows, *by):
     """Counts of chunks, files, and chunks with and without a vector."""
     has = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    rows = rows.select(*by, "id", "file_path", has.alias("has")).distinct()
+    has = F.col("has")
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
     return rows.groupBy(*by).agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"), one(has).alias("embedded"), one(~has).alias("unembedded"))
 
@@ -258,12 +264,12 @@ _GONE = "gone AS (SELECT DISTINCT file_path FROM index_log WHERE run_id % 3 = 0)
 @query("delete_by_path", f"WITH {_STORED}, {_GONE} SELECT id FROM c WHERE file_path NOT IN (SELECT file_path FROM gone)")
 def delete_by_path(spark, sf_dir):
     gone = table(spark, sf_dir, "index_log").where("run_id % 3 = 0").select("file_path").distinct()
-    return _stored(spark, sf_dir, "file_path").join(gone, "file_path", "left_anti").select("id")
+    return _stored(spark, sf_dir, "file_path").join(gone, "file_path", "left_anti").select("id").distinct()
 
 
 @query("delete_by_prefix", f"WITH {_STORED} SELECT id FROM c WHERE NOT (file_path = '/srv/checkouts/lunar-edge/src' OR starts_with(file_path, '/srv/checkouts/lunar-edge/src/'))")
 def delete_by_prefix(spark, sf_dir):
-    return _stored(spark, sf_dir, "file_path").where(~classify.under(F.col("file_path"), "/srv/checkouts/lunar-edge/src")).select("id")
+    return _stored(spark, sf_dir, "file_path").where(~classify.under(F.col("file_path"), "/srv/checkouts/lunar-edge/src")).select("id").distinct()
 
 
 @query(
@@ -272,7 +278,7 @@ def delete_by_prefix(spark, sf_dir):
 SELECT id, file_path, revision FROM c WHERE revision = 1 AND file_path NOT IN (SELECT file_path FROM new) UNION ALL SELECT id, file_path, revision FROM new""",
 )
 def replace_files(spark, sf_dir):
-    rows = _stored(spark, sf_dir, "file_path", "revision")
+    rows = _stored(spark, sf_dir, "file_path", "revision").distinct()
     new = rows.where("revision > 1")
     kept = rows.where("revision = 1").join(new.select("file_path").distinct(), "file_path", "left_anti")
     return kept.select("id", "file_path", "revision").unionByName(new.select("id", "file_path", "revision"))
@@ -368,7 +374,7 @@ def token_overlap(spark, sf_dir):
 def exact_phrase(spark, sf_dir):
     phrase = F.lower(text.trim_space(F.lit("  Retry patch ")))
     rows = _stored(spark, sf_dir, "file_path", "content")
-    return rows.where(F.contains(F.lower("content"), phrase) | F.contains(F.lower("file_path"), phrase)).select("id")
+    return rows.where(F.contains(F.lower("content"), phrase) | F.contains(F.lower("file_path"), phrase)).select("id").distinct()
 
 
 # The batch search: retrieval queries, each within its project, with the vector of a row of ``embeddings``.
@@ -452,7 +458,7 @@ def compact_preview(spark, sf_dir):
 @query("result_reason", f"WITH {_STORED} SELECT id, coalesce(nullif(concat_ws('; ', CASE WHEN category = 'source' THEN 'actionable source code' END, CASE WHEN contains(lower(content), {_STEM}) THEN 'file content aligns with file name' END), ''), 'relevant ranked match') AS reason FROM c")
 def result_reason(spark, sf_dir):
     rows = _stored(spark, sf_dir, "category", "content", "file_path")
-    return rows.select("id", text.result_reason(F.lit("text"), F.col("category"), F.col("content"), F.col("file_path")).alias("reason"))
+    return rows.select("id", text.result_reason(F.lit("text"), F.col("category"), F.col("content"), F.col("file_path")).alias("reason")).distinct()
 
 
 @query(
@@ -617,12 +623,12 @@ _PURPOSE = f"""CASE WHEN language = 'go' THEN coalesce(nullif(concat_ws('; ', {"
 
 @query("signature", f"WITH {_STORED} SELECT id, {_SIGNATURE} AS signature FROM c")
 def signature(spark, sf_dir):
-    return _stored(spark, sf_dir, "language", "content").select("id", enrich.signature(F.col("language"), F.col("content")).alias("signature"))
+    return _stored(spark, sf_dir, "language", "content").select("id", enrich.signature(F.col("language"), F.col("content")).alias("signature")).distinct()
 
 
 @query("purpose", f"WITH {_STORED} SELECT id, {_PURPOSE} AS purpose FROM c")
 def purpose(spark, sf_dir):
-    return _stored(spark, sf_dir, "language", "content").select("id", enrich.purpose(F.col("language"), F.col("content")).alias("purpose"))
+    return _stored(spark, sf_dir, "language", "content").select("id", enrich.purpose(F.col("language"), F.col("content")).alias("purpose")).distinct()
 
 
 @query(
@@ -631,7 +637,7 @@ def purpose(spark, sf_dir):
 SELECT id, concat_ws(chr(10), 'File: ' || {_base("file_path")}, 'Language: ' || language, 'Category: ' || {_category("language")}, CASE WHEN signature <> '' THEN 'Signature: ' || signature END, 'Purpose: ' || purpose, 'Code:' || chr(10) || content) AS enriched FROM s""",
 )
 def semantic_content(spark, sf_dir):
-    rows = _stored(spark, sf_dir, "file_path", "language", "content")
+    rows = take_once(_stored(spark, sf_dir, "file_path", "language", "content"))
     return rows.select("id", enrich.semantic_content(F.col("file_path"), F.col("language"), F.col("content")).alias("enriched"))
 
 

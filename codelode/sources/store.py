@@ -78,7 +78,7 @@ class ChunkStore:
         """Counts of chunks and files, and bytes on disk, with the metadata if there is any."""
         from ..plans.core_queries import index_statistics
 
-        row = index_statistics(self.read().select("file_path", "embedding")).first().asDict()
+        row = index_statistics(self.read().select("id", "file_path", "embedding")).first().asDict()
         folders = self.manifest()["folders"].values()
         size = sum(self._fs.getContentSummary(self._path(f"{self.path}/{f}")).getLength() for f in set(folders))
         return row | {"bytes": size} | ({k: v for k, v in self.metadata().items()} if self.metadata() else {})

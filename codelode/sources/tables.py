@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """``<sf_dir>/<name>.parquet``, a file or a folder of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def take_once(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with a key that occurs several times taken once; rows with a NULL key stay as they are.
+
+    Only keys are shuffled to find the few that repeat; of the rows no more than theirs. Which of several
+    rows stays is open, so they should be equal.
+    """
+    again = durable(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    return rows.join(again, key, "left_anti").union(rows.join(again, key, "left_semi").dropDuplicates([key]))

@@ -11,6 +11,7 @@ from codelode import schema
 from codelode.functions import classify, text, vectors
 from codelode.functions.enrich import purpose, semantic_content
 from codelode.operators import chunking, evaluate, ranking, search
+from codelode.sources.tables import take_once
 
 TSX = """import React from "react";
 import { load } from "./load";
@@ -139,6 +140,15 @@ def test_batch_search_cuts_hot_projects_into_blocks(spark, monkeypatch):
     assert search.batch_topk(chunks.limit(0), queries, 5).count() == 0
 
 
+def test_rows_delivered_several_times_count_once(spark):
+    rows = [(i // 5, "p", [1.0, i // 5 / 10], None, "go") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "id bigint, project string, embedding array<float>, category string, language string")
+    assert [r.id for r in search.unique_topk(chunks, [1.0, 0.0], 3).collect()] == [0, 1, 2]
+    assert [r.id for r in search.unique_topk(chunks, [1.0, 0.0], 50).collect()] == list(range(12))
+    once = take_once(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "id bigint, x string"))
+    assert sorted((r.id or 0, r.x) for r in once.collect()) == [(0, "c"), (0, "c"), (1, "a"), (2, "b")]
+
+
 def test_text_search_takes_letters_and_wildcards_as_stated(spark):
     rows = [(1, "Ábc ÉT"), (2, "ábc ét"), (3, "aXb"), (4, "a\\b"), (5, "100%")]
     chunks = spark.createDataFrame(rows, "id bigint, content string").selectExpr("*", "'go' AS language", "CAST(NULL AS string) AS category", "CAST(NULL AS array<float>) AS embedding")
