@@ -19,9 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-
-#: Cells of the filter that keeps contents of files not asked for out of the shuffle: at most so many rows are broadcast.
-FILTER_CELLS = 1 << 18
+from ..sources.tables import roughly_in
 
 KEY = ["project", "file_path"]
 REVISION = [*KEY, "revision", "created_at"]
@@ -148,10 +146,8 @@ def due_chunks(chunks: DataFrame, log: DataFrame, runs: DataFrame, trust_created
     wanted = earlier.union(rewritten.select(*REVISION))
     wanted = durable(wanted)
     # a first, inexact filter of bounded size lets few contents reach the shuffle of the exact one
-    cell = F.pmod(F.xxhash64(*KEY), F.lit(FILTER_CELLS))
-    cells = wanted.select(cell.alias("cell")).distinct()
     texts = chunks.where("id IS NOT NULL").select("id", *REVISION, "content", "start_line")
-    texts = texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
+    texts = roughly_in(texts, wanted, KEY)
     prints = durable(text_fingerprints(_having(texts, wanted, REVISION)))
     old = _having(prints, earlier, REVISION).select(*KEY, "fp")
     unchanged = _having(_having(prints, rewritten, REVISION), old, [*KEY, "fp"]).select(*REVISION)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.classify import is_actionable, is_build_artifact
 from ..functions.text import base_name, overlap_ratio, rank_tokens, trim_space
+from ..session import durable
+from ..sources.tables import roughly_in
 
 
 def hybrid_score(query: Column, base: Column, path: Column, category: Column, content: Column) -> Column:
@@ -58,9 +60,10 @@ def ranked_candidates(chunks: DataFrame, queries: DataFrame, candidates: int = s
     """
     from .search import batch_topk, semantic_rows
 
-    top = batch_topk(chunks, queries, candidates).drop("rank")
+    top = durable(batch_topk(chunks, queries, candidates).drop("rank"))  # a few rows per query
     text = semantic_rows(chunks).select("id", "file_path", "start_line", "end_line", "language", "category", "content")
-    text = text.join(top.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    wanted = top.select("id").distinct()
+    text = roughly_in(text, wanted, ["id"]).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     asked = queries.select("query_id", "query")
     return rerank(top.join(text, "id").join(asked, "query_id"), F.col("query"), ["query_id"]).drop("query")
 

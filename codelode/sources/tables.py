@@ -13,6 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Cells of ``roughly_in``, and so the rows that it broadcasts at most.
+FILTER_CELLS = 1 << 18
+
+
+def roughly_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key's hash cell is among those of ``wanted``: all that are in it, and by chance some more.
+
+    Goes before an exact join to keep the other rows' wide columns out of its shuffle. The broadcast side
+    has at most ``FILTER_CELLS`` numbers, however large ``wanted`` is.
+    """
+    cell = F.pmod(F.xxhash64(*keys), F.lit(FILTER_CELLS))
+    cells = wanted.select(cell.alias("_cell")).distinct()
+    return rows.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+
+
 def take_once(rows: DataFrame, key: str = "id") -> DataFrame:
     """``rows`` with a key that occurs several times taken once; rows with a NULL key stay as they are.
 
