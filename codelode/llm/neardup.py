@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from ..sources.tables import roughly_in
 from . import shingles
 
 PLACES = 128
@@ -111,9 +112,9 @@ def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, m
         least_matches(threshold),
     )
     same = durable(same)
-    needed = same.select(F.col("id_a").alias("id")).union(same.select("id_b")).distinct()
+    needed = durable(same.select(F.col("id_a").alias("id")).union(same.select("id_b")).distinct())
     texts = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
+    texts = roughly_in(texts, needed, ["id"]).join(needed, "id", "left_semi").dropDuplicates(["id"])
     full = same.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     full = full.join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
     return members, _verified(full, threshold, width)
