@@ -38,14 +38,30 @@ _PLACEHOLDER = re.compile(
     null|nil|none|true|false|undefined|n/?a|empty|default|unset|string|required|optional|missing|tbd)$""",
     re.I | re.X | re.S,
 )
-_REFERENCE = re.compile(r"^(?:vault|env|ssm|secret|secrets|arn|gcp|aws|azure|keyvault|op|kms|file|ref|sops|doppler|config|keyring|k8s|https?)[:/]|^(?:/|\./|\.\./|~/)[\w./\-]+$|^(?:process|os|System|config|settings|secrets|vault|env|ctx|self|this|Deno|import)\.[\w.]+|^!(?:Ref|Sub|vault|secret)\b", re.I)
+_REFERENCE = re.compile(r"^(?:vault|env|ssm|secret|secrets|arn|gcp|aws|azure|keyvault|op|kms|file|ref|sops|doppler|config|keyring|k8s|https?)[:/]|^(?:/|\./|\.\./|~/)(?-i:[a-z0-9_.\-]+/)*(?-i:[a-z0-9_.\-]+)$|^(?:process|os|System|config|settings|secrets|vault|env|ctx|self|this|Deno|import)\.[\w.]+|^!(?:Ref|Sub|vault|secret)\b", re.I)
 _UUID = re.compile(r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$", re.I)
 _HEX = re.compile(r"^(?:sha\d+[:\-])?[0-9a-f]{7,}$", re.I)
-#: Shapes of tokens that tell themselves.
+#: Shapes of well-known tokens.
 _SHAPES = re.compile(
-    r"(?<![A-Za-z0-9+/_\-.])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|rk_live_[A-Za-z0-9]{16,}|glpat-[\w\-]{18,}|npm_[A-Za-z0-9]{30,}|AIza[\w\-]{35}|SG\.[\w\-]{16,}\.[\w\-]{16,}|"
-    r"[a-z]{2,5}_(?:live|sk|pat|key|secret)_[A-Za-z0-9]{16,}|[a-z]{3,5}pat-[A-Za-z0-9]{16,}|qpat-[A-Za-z0-9]{16,}|[a-z]{2}\d\.[A-Za-z0-9]{20,}|orb_sk_[A-Za-z0-9]{16,}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![A-Za-z0-9_])"
+    r"(?<![A-Za-z0-9+/_\-.])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|glpat-[\w\-]{18,}|npm_[A-Za-z0-9]{30,}|AIza[\w\-]{35}|SG\.[\w\-]{16,}\.[\w\-]{16,}|"
+    r"eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,}|(?P<prefix>[a-z][a-z0-9]{1,9}(?:[_\-][a-z][a-z0-9]{1,7}){0,2})[_\-.](?P<body>[A-Za-z0-9]{18,}))(?![A-Za-z0-9_])"
 )
+#: Prefixes of digests and the like, which are no tokens.
+_NO_TOKEN = re.compile(r"^(?:sha\d*|md5|blake\w*|crc\w*|rev|commit|hash|digest|etag|checksum|integrity|build|chunk|bundle|img|image|v\d+)$")
+
+
+def _token(m: re.Match) -> bool:
+    """Whether a match of ``_SHAPES`` is a token: after a free prefix the body has to look drawn at random."""
+    if _PLACEHOLDER.match(m.group()) or not _varied(m.group()):
+        return False
+    body = m.group("body")
+    if body is None:
+        return True
+    if any(_NO_TOKEN.match(p) for p in re.split(r"[_\-]", m.group("prefix"))):
+        return False
+    return bool(re.search(r"[a-z]", body) and re.search(r"[A-Z]", body)) and (len(re.findall(r"\d", body)) >= 2 or _scrambled(body)) and not re.search(r"[a-z]{11,}", body)
+
+
 _URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://([^\s/:@\"'`<>]*):([^\s/\"'`<>]*?)@(?=[\w.\-\[\"'$+ ])", re.I)
 _SCHEME = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -67,7 +83,7 @@ _INLINE_ENV = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*)=([^\s\"'`;|&)]+)")
 _UNQUOTED = {"yaml", "properties", "toml", "ini", "shell", "dockerfile", "markdown", "config", ""}
 
 #: What a chunk must hold for the tokeniser to look at it, as a Java pattern.
-CANDIDATE = r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|:[^\s@]{3,}@[\w\[.-]|(?:-u|--user|--proxy-user)[ =]+\S+:|BEGIN [A-Z0-9 ]*PRIVATE|\b(?:basic|bearer) +[A-Za-z0-9+/=_.-]{8}|_(?:live|sk|pat)_|pat-|\b[a-z]{2}[0-9]\.[A-Za-z0-9]{20}|\beyJ[A-Za-z0-9_-]{8,}\.|AKIA|\bgh[pousr]_|xox[abprs]-"
+CANDIDATE = r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|:[^\s@]{3,}@[\w\[.-]|(?:-u|--user|--proxy-user)[ =]+\S+:|BEGIN [A-Z0-9 ]*PRIVATE|\b(?:basic|bearer) +[A-Za-z0-9+/=_.-]{8}|(?-i:\b[a-z][a-z0-9_-]{1,20}[_.-][A-Za-z0-9]{18})|\beyJ[A-Za-z0-9_-]{8,}\.|AKIA|\bgh[pousr]_|xox[abprs]-"
 
 
 def is_credential_name(name: str) -> bool:
@@ -78,7 +94,7 @@ def is_credential_name(name: str) -> bool:
     parts = [p.lower() for p in _SPLIT.split(name) if p]
     while parts and (parts[-1].isdigit() or re.fullmatch(r"v\d+", parts[-1])):
         parts.pop()
-    if not parts or parts[-1] in _ABOUT or any(p in _ABOUT and p in {"label", "hash", "digest", "public", "csrf", "checksum", "fingerprint", "placeholder"} for p in parts):
+    if not parts or parts[-1] in _ABOUT or any(p in {"public", "csrf", "hashed", "placeholder"} for p in parts):
         return False
     return bool(_NAME.search(name))
 
@@ -95,7 +111,7 @@ def is_secret(value: str, named: bool = True) -> bool:
     kinds = bool(re.search(r"\d", v)) + bool(re.search(r"[^A-Za-z0-9]", v)) + bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v))
     if not kinds:
         return False
-    if re.fullmatch(r"[A-Za-z]+(?:[_\-./ ][A-Za-z]+)*", v) and not (v.isalpha() and _scrambled(v)):
+    if re.fullmatch(r"[A-Za-z]+(?:[_\-./ ][A-Za-z]+)*", v) and not any(_scrambled(part) for part in re.split(r"[_\-./ ]", v)):
         return False  # words, paths or identifiers
     if re.fullmatch(r"[A-Z][a-z\u00c0-\u024f]+", v) or not v.isascii() and v.isalpha():
         return False
@@ -146,7 +162,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
         pieces = [(chain.start() + m.start() + 1, m.group()[1:-1]) for m in re.finditer(_QUOTED, chain.group())]
         whole = "".join(t for _, t in pieces)
         places = [(m.span(2), "url password") for m in _URL.finditer(whole) if _url_password(m.group(2))]
-        places += [(m.span(), "token") for m in _SHAPES.finditer(whole) if re.search(r"\d", m.group()) and _varied(m.group())]
+        places += [(m.span(), "token") for m in _SHAPES.finditer(whole) if _token(m)]
         places += [(m.span(2), "basic pair") for m in _SCHEME.finditer(whole) if m.group(1) == "Basic" and _basic(m.group(2))]
         for (a, b), kind in places:
             at = 0
@@ -209,7 +225,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
             elif is_secret(code) and re.search(r"\d", code) and len(code) >= 16:
                 add(i, m.start(2), m.end(2), "bearer token")
         for m in _SHAPES.finditer(line):
-            if not _PLACEHOLDER.match(m.group()) and re.search(r"\d", m.group()) and _varied(m.group()):
+            if _token(m):
                 add(i, m.start(), m.end(), "token")
         comment = _comment_start(line, language)
         code = line if comment is None else line[:comment]
@@ -283,7 +299,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
             shift = len(line) - len(prose)
             for m in _LABEL.finditer(prose):
                 word = m.group(2).rstrip(".)")
-                sure = m.group()[len(m.group(1)) :].lstrip()[:1] in ":=-" or re.search(r"\d", word)
+                sure = m.group()[len(m.group(1)) :].lstrip()[:1] in ":=-" or re.search(r"\d", word) or _scrambled(word)
                 if sure and is_secret(word) and not _URL.search(word):
                     add(i, shift + m.start(2), shift + m.start(2) + len(word), "comment")
     return sorted((i, a, b, kind) for (a, b), (i, kind) in found.items())
