@@ -659,3 +659,69 @@ def normalize_project_name(spark, sf_dir):
     extra = spark.createDataFrame([(" Ärger & Co. ",), ("--..",), ("",), ("My Project/x",)], "source string")
     names = table(spark, sf_dir, "documents").select("source").where("source IS NOT NULL").union(extra).distinct()
     return names.select("source", text.normalized_name(F.col("source")).alias("name"))
+
+
+# ---- configuration-sized operators, over literals and small tables
+_CONFIGS = [(1, " remote ", "local, ,embedded,remote"), (2, "", ""), (3, "embedded", " x ,x"), (4, "remote", "remote")]
+
+
+@query(
+    "provider_order",
+    f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_q(d)}, {_q(f)})" for i, d, f in _CONFIGS)}) t(config, d, f)), u AS (SELECT config, unnest(list_concat([d], string_split(f, ','), ['embedded', 'remote'])) AS x, generate_subscripts(list_concat([d], string_split(f, ','), ['embedded', 'remote']), 1) AS i FROM c),
+m AS (SELECT config, trim(x) AS x, min(i) AS i FROM u WHERE trim(x) <> '' GROUP BY config, trim(x)) SELECT config, string_agg(x, ',' ORDER BY i) AS providers FROM m GROUP BY config""",
+)
+def provider_order(spark, sf_dir):
+    rows = spark.createDataFrame(_CONFIGS, "config int, d string, f string")
+    names = F.concat(F.array("d"), F.split("f", ","), F.array(F.lit("embedded"), F.lit("remote")))
+    kept = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""))
+    return rows.select("config", F.array_join(kept, ",").alias("providers"))
+
+
+_CHANGED = " /srv/checkouts/lunar-edge/a.go, src//b.go ,, ./c/../d.go"
+
+
+@query("parse_changed", f"SELECT trim(x) AS path FROM (SELECT unnest(string_split({_q(_CHANGED)}, ',')) AS x) WHERE trim(x) <> ''")
+def parse_changed(spark, sf_dir):
+    parts = F.filter(F.transform(F.split(F.lit(_CHANGED), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return spark.range(1).select(F.explode(parts).alias("path"))
+
+
+@query(
+    "select_project",
+    "WITH f AS (SELECT DISTINCT file_path FROM code_chunks) SELECT f.file_path, min(p.project) AS project FROM f LEFT JOIN projects p ON f.file_path = p.workspace_root OR starts_with(f.file_path, p.workspace_root || '/') GROUP BY f.file_path",
+)
+def select_project(spark, sf_dir):
+    # each path with its folders, joined on equality: no nested loop over the projects
+    files = table(spark, sf_dir, "code_chunks").select("file_path").distinct()
+    parts = F.split("file_path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    places = files.select("file_path", F.explode(ups).alias("workspace_root"))
+    held = places.join(table(spark, sf_dir, "projects").select("project", "workspace_root"), "workspace_root")
+    first = held.groupBy("file_path").agg(F.min("project").alias("project"))
+    return files.join(first, "file_path", "left")
+
+
+@query("within_roots", "SELECT DISTINCT file_path FROM code_chunks WHERE file_path = '/srv/checkouts/lunar-edge' OR starts_with(file_path, '/srv/checkouts/lunar-edge/') OR starts_with(file_path, '/srv/checkouts/umber-model/')")
+def within_roots(spark, sf_dir):
+    path = F.col("file_path")
+    inside = classify.under(path, "/srv/checkouts/lunar-edge") | classify.under(path, "/srv/checkouts/umber-model/")
+    return table(spark, sf_dir, "code_chunks").select("file_path").where(inside).distinct()
+
+
+@query("vector_decode", "SELECT DISTINCT id, CASE WHEN id % 7 = 0 OR len(embedding) = 0 THEN 0 ELSE len(embedding)::INTEGER END AS size, round(CASE WHEN id % 7 = 0 OR len(embedding) = 0 THEN 0 ELSE list_sum(embedding::DOUBLE[]) END, 5)::DOUBLE AS total FROM code_chunks WHERE embedding IS NOT NULL")
+def vector_decode(spark, sf_dir):
+    from ..functions.vectors import decode, encode
+
+    rows = table(spark, sf_dir, "code_chunks").select("id", "embedding").where("embedding IS NOT NULL")
+    blob = F.when(F.col("id") % 7 == 0, F.unhex(F.lit("0102030405"))).otherwise(encode(F.col("embedding")))  # five bytes are no vector
+    got = rows.select("id", decode(blob).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return got.select("id", F.when(F.col("v").isNotNull(), F.size("v")).otherwise(0).alias("size"), F.round(F.coalesce(total, F.lit(0.0)), 5).alias("total")).distinct()
+
+
+@query("path_matches", "WITH t AS (SELECT query_id, unnest(expected_files) AS f FROM retrieval_queries), e AS (SELECT query_id, f, regexp_extract(f, '[^/]+/[^/]+$') AS tail FROM t) SELECT query_id, f AS file_path, (f = tail OR ends_with(f, '/' || tail)) AS by_tail, false AS by_part FROM e")
+def path_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "retrieval_queries").select("query_id", F.explode("expected_files").alias("file_path"))
+    tail = F.substring_index("file_path", "/", -2)
+    part = F.substring(tail, F.lit(2), F.length(tail) - 1)  # begins within a folder's name
+    return rows.select("query_id", "file_path", evaluate.path_matches(F.col("file_path"), F.concat(F.lit("./"), tail)).alias("by_tail"), evaluate.path_matches(F.col("file_path"), part).alias("by_part"))
