@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import incremental
-from ..sources.tables import table, take_once
+from ..sources.tables import spread, table, take_once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -623,12 +623,12 @@ _PURPOSE = f"""CASE WHEN language = 'go' THEN coalesce(nullif(concat_ws('; ', {"
 
 @query("signature", f"WITH {_STORED} SELECT id, {_SIGNATURE} AS signature FROM c")
 def signature(spark, sf_dir):
-    return _stored(spark, sf_dir, "language", "content").select("id", enrich.signature(F.col("language"), F.col("content")).alias("signature")).distinct()
+    return spread(_stored(spark, sf_dir, "language", "content")).select("id", enrich.signature(F.col("language"), F.col("content")).alias("signature")).distinct()
 
 
 @query("purpose", f"WITH {_STORED} SELECT id, {_PURPOSE} AS purpose FROM c")
 def purpose(spark, sf_dir):
-    return _stored(spark, sf_dir, "language", "content").select("id", enrich.purpose(F.col("language"), F.col("content")).alias("purpose")).distinct()
+    return spread(_stored(spark, sf_dir, "language", "content")).select("id", enrich.purpose(F.col("language"), F.col("content")).alias("purpose")).distinct()
 
 
 @query(
@@ -637,7 +637,7 @@ def purpose(spark, sf_dir):
 SELECT id, concat_ws(chr(10), 'File: ' || {_base("file_path")}, 'Language: ' || language, 'Category: ' || {_category("language")}, CASE WHEN signature <> '' THEN 'Signature: ' || signature END, 'Purpose: ' || purpose, 'Code:' || chr(10) || content) AS enriched FROM s""",
 )
 def semantic_content(spark, sf_dir):
-    rows = take_once(_stored(spark, sf_dir, "file_path", "language", "content"))
+    rows = spread(take_once(_stored(spark, sf_dir, "file_path", "language", "content")))
     return rows.select("id", enrich.semantic_content(F.col("file_path"), F.col("language"), F.col("content")).alias("enriched"))
 
 

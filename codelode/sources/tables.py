@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` on as many tasks as there are cores, if the scan gives fewer; else as they are.
+
+    For costly work per row over a table of few, unsplittable files. A table of many files is never moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 #: Cells of ``roughly_in``, and so the rows that it broadcasts at most.
 FILTER_CELLS = 1 << 18
 
