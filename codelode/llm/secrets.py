@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 MASK = "REDACTED"
 #: Words that make the end of a name a credential's, written without separators.
 _CREDENTIAL = (
@@ -357,7 +359,7 @@ def redact(content: str, spans: list[tuple[int, int, int, str]]) -> str:
 
 def _scan(chunks: DataFrame) -> DataFrame:
     keep = ["id", "start_line", "language", "content"]
-    return chunks.select(*keep).where("id IS NOT NULL AND content IS NOT NULL").where(F.col("content").rlike(CANDIDATE)).dropDuplicates(["id"])
+    return spread(chunks.select(*keep).where("id IS NOT NULL AND content IS NOT NULL")).where(F.col("content").rlike(CANDIDATE))
 
 
 def secret_places(chunks: DataFrame) -> DataFrame:
@@ -376,7 +378,8 @@ def secret_places(chunks: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["id", "line_no", "start", "end", "kind"])
 
-    return _scan(chunks).mapInArrow(find, "id bigint, line_no bigint, start int, end int, kind string")
+    found = _scan(chunks).mapInArrow(find, "id bigint, line_no bigint, start int, end int, kind string")
+    return found.distinct()  # of rows delivered twice; contents are never shuffled
 
 
 def secret_lines(chunks: DataFrame) -> DataFrame:
