@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text
-from ..functions.classify import is_semantic
+from ..functions.classify import category_of, in_excluded_dir, is_semantic, under
 from ..functions.enrich import semantic_content
 from ..operators import chunking, evaluate, ranking, search
 from ..providers import Provider, embed_column, provider_status, resolve_provider
@@ -83,8 +83,6 @@ class Engine:
         cut = chunking.chunk_files(sources, size)
         enriched = semantic_content(F.col("file_path"), F.col("language"), F.col("content"))
         vector = embed_column(self.provider, enriched) if self.provider is not None else F.lit(None).cast("array<float>")
-        from ..functions.classify import category_of
-
         return cut.select(
             chunk_id(F.col("file_path"), F.col("chunk_no")).alias("id"), "file_path", "content", "start_line", "end_line", "language",
             category_of(F.col("language")).alias("category"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"), vector.alias("embedding"),
@@ -118,13 +116,13 @@ class Engine:
         counts = rows.agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files")).first()
         if rows.columns and (counts["chunks"] or changed or emptied.take(1)):
             self.store.replace_files(rows, emptied)
-        if not changed:
-            for root in roots:
-                for name in schema.EXCLUDED_DIRS:
-                    if self.store.manifest()["folders"]:
-                        hit = self.store.read().where(F.contains(F.col("file_path"), F.lit(f"/{name}/")) & F.startswith(F.col("file_path"), F.lit(root)))
-                        if hit.take(1):
-                            self.store.delete_paths(hit.select("file_path"))
+        if not changed and self.store.manifest()["folders"]:
+            path, inside = F.col("file_path"), F.lit(False)
+            for root in roots:  # chunks of folders that have become excluded
+                inside = inside | (under(path, root) & in_excluded_dir(F.substring(path, len(root) + 1, 1 << 20)))
+            hit = self.store.read().where(inside).select("file_path").distinct()
+            if hit.take(1):
+                self.store.delete_paths(hit)
         mode = "incremental" if changed else "full"
         label = "changed files" if changed else "files"
         return {
