@@ -105,6 +105,12 @@ def p4_pieces(spark, sf_dir):
     return splitting.split_chunks(_chunks(spark, sf_dir), table(spark, sf_dir, "chunk_limits"))
 
 
+@query("p4_replaced")
+def p4_replaced(spark, sf_dir):
+    slim = _chunks(spark, sf_dir).select("id", "project", "file_path", "language", "content", "start_line", "end_line")
+    return splitting.replace_oversized(slim, table(spark, sf_dir, "chunk_limits"))
+
+
 @query("p7_found")
 def p7_found(spark, sf_dir):
     return syntax.invalid_files(_chunks(spark, sf_dir)).select("file_path").distinct()

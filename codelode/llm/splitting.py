@@ -180,3 +180,20 @@ def split_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 def oversized_ids(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """``id`` of every chunk that was split."""
     return split_chunks(chunks, limits).where("piece_no = 1").select("id")
+
+
+def replace_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """All rows of ``chunks``, oversized ones replaced by their pieces, with ``piece_no`` (0 for whole chunks).
+
+    Pieces keep the other columns of their chunk; content and lines are their own. A column ``piece_no`` of
+    the input is replaced. Rows that ``split_chunks`` does not split stay as they are.
+    """
+    names = [c for c in chunks.columns if c != "piece_no"]
+    pieces = split_chunks(chunks, limits).select("id", "piece_no", "content", "start_line", "end_line")
+    most = limits.where("language IS NOT NULL AND max_chars IS NOT NULL").groupBy(F.col("language").alias("_language")).agg(F.min("max_chars").alias("_most"))
+    joined = chunks.join(most, F.col("language") == F.col("_language"), "left")
+    big = F.coalesce(F.col("id").isNotNull() & (F.length("content") > F.col("_most")), F.lit(False))
+    whole = joined.where(~big).select(*names, F.lit(0).alias("piece_no"))
+    own = ("content", "start_line", "end_line")
+    rest = joined.where(big).select(*(c for c in names if c not in own)).dropDuplicates(["id"])
+    return whole.unionByName(rest.join(pieces, "id").select(*names, "piece_no"))

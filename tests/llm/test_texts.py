@@ -104,6 +104,9 @@ def test_split_chunks(spark):
     assert [(r.id, r.piece_no, r.pieces, r.content, r.start_line, r.end_line) for r in got if r.id == 2] == [(2, 1, 2, "line one\nline two\n", 11, 12), (2, 2, 2, "line two\nline three\n", 12, 13)]
     assert "".join(r.content for r in got if r.id == 3) == "é" * 6
     assert splitting.split_chunks(frame.limit(0), limits).count() == 0
+    whole = splitting.replace_oversized(frame.withColumn("max_chars", frame.id).withColumn("piece_no", frame.id), limits).collect()
+    assert sorted((r.id, r.piece_no) for r in whole) == [(1, 0), (2, 1), (2, 2), (3, 1), (3, 2), (4, 0), (5, 0), (6, 0), (7, 0)]
+    assert all(r.project == "p" and r.file_path == "a" for r in whole) and [r.content for r in whole if r.id == 5] == [None]
 
 
 # ---- secrets --------------------------------------------------------------------------------------------
