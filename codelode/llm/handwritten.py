@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: Folders that hold other projects' code.
 VENDOR_FOLDERS = ["vendor", "_vendor", "node_modules", "bower_components", "third_party", "thirdparty", "3rdparty", "third-party", "external", "externals", "extern", "vendored", "subprojects", "Godeps", "Pods", "site-packages", "jspm_packages"]
 #: Names that generators and bundlers give to files.
@@ -104,7 +106,8 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
         # of a file's last chunk, which has the greatest line number
         F.struct(first.alias("at"), says(tail, GENERATED_STATEMENT).alias("generated"), says(tail, VENDORED_STATEMENT).alias("vendored")).alias("last"),
     )
-    rows = chunks.where("file_path IS NOT NULL").select("project", "file_path", "revision", "id", "language", facts.alias("f"))
+    slim = spread(chunks.where("file_path IS NOT NULL").select("project", "file_path", "revision", "id", "language", "start_line", "content"))
+    rows = slim.select("project", "file_path", "revision", "id", "language", facts.alias("f"))
     key = ["project", "file_path", "revision"]
     once = rows.groupBy("id", *key).agg(F.max("f").alias("f"), F.max("language").alias("language"))
     sums = [F.sum(f"f.{c}").alias(c) for c in ("chars", "lines", "space", "digits", "letters", "numbers", "encoded")]

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from ..sources.tables import spread
 
 #: Rows that the centroids are fitted on, at most, and centroids, at most: 32 MB of float32 at 64 elements.
 FIT_ROWS = 65_536
@@ -120,7 +121,7 @@ def usable_vectors(df: DataFrame, dim: int, id_col: str = "id", vector_col: str
             flat = pa.array(x.view(f"V{dim * 4}").ravel().tolist(), type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), flat], ["id", "vec"])
 
-    return rows.mapInArrow(pack, "id bigint, vec binary").withColumn("h", F.xxhash64("vec"))
+    return spread(rows).mapInArrow(pack, "id bigint, vec binary").withColumn("h", F.xxhash64("vec"))
 
 
 def fit_cells(vectors: DataFrame, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ..sources.tables import roughly_in
+from ..sources.tables import roughly_in, spread
 from . import shingles
 
 PLACES = 128
@@ -55,7 +55,7 @@ def signatures(records: DataFrame, width: int, min_words: int, id_col: str, text
 
     slim = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     slim = slim.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(sign, "id bigint, c1 bigint, c2 bigint, sig binary")
+    return spread(slim).mapInArrow(sign, "id bigint, c1 bigint, c2 bigint, sig binary")
 
 
 def index_entries(signed: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: The vocabulary file, as ranks; its folder has to be present on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public splitting pattern that goes with such vocabularies.
@@ -42,4 +44,4 @@ def token_counts(documents: DataFrame, keep: list[str], text_col: str = "text",
             sizes = [len(encode(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "tokens"])
 
-    return rows.mapInArrow(measure, schema)
+    return spread(rows).mapInArrow(measure, schema)
