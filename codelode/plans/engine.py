@@ -14,7 +14,7 @@ from ..functions.classify import category_of, in_excluded_dir, is_semantic, unde
 from ..functions.enrich import semantic_content
 from ..operators import chunking, evaluate, ranking, search
 from ..providers import Provider, embed_column, provider_status, resolve_provider
-from ..session import durable
+from ..session import durable, ship_package
 from ..sources import files
 from ..sources.config import load_config, read_fixture
 from ..sources.store import ChunkStore
@@ -62,6 +62,7 @@ class Engine:
     """One project's index below ``root``, and what can be done with it."""
 
     def __init__(self, spark: SparkSession, root: str, project: str, provider: Provider | None = None, config: dict | None = None):
+        ship_package(spark)
         self.spark, self.project, self.config = spark, project, config or load_config()
         self.store = ChunkStore(spark, root, project)
         self.provider = provider if provider is not None else self._resolve()
