@@ -54,7 +54,14 @@ def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "code_chunks")
 
 
-@query("p6_found")
+@query(
+    "p6_found",
+    """WITH d AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM code_chunks WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 30),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7""",
+)
 def p6_found(spark, sf_dir):
     return neardup.near_duplicate_pairs(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
@@ -64,7 +71,11 @@ def p6_groups(spark, sf_dir):
     return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
 
-@query("p10_found")
+@query(
+    "p10_found",
+    f"""WITH n AS (SELECT DISTINCT doc_id, text, {lookalike.reference_sql("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+)
 def p10_found(spark, sf_dir):
     return lookalike.same_looking_pairs(table(spark, sf_dir, "documents"))
 
