@@ -38,6 +38,22 @@ def roughly_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame
     return rows.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
 
 
+#: Rows of one key that meet the others of that key in one block of ``pairs_within``.
+BLOCK_ROWS = 1024
+
+
+def pairs_within(rows: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """``x, y``: all pairs ``x < y`` of the values found under one key; ``count`` bounds a key's number of rows.
+
+    A key of many rows is cut into blocks, each of which meets all rows of the key, so that no task has
+    to write all of a key's pairs.
+    """
+    blocks = F.greatest(F.ceil(F.col(count) / BLOCK_ROWS), F.lit(1)).cast("int")
+    left = rows.select(*keys, F.col(value).alias("x"), F.pmod(F.xxhash64(value), blocks).cast("int").alias("_block"))
+    right = rows.select(*keys, F.col(value).alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    return left.join(right, [*keys, "_block"]).where("x < y").select("x", "y")
+
+
 def take_once(rows: DataFrame, key: str = "id") -> DataFrame:
     """``rows`` with a key that occurs several times taken once; rows with a NULL key stay as they are.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode.llm import knn, lookalike, neardup, shingles
+from codelode.sources import tables
 
 VEC = "id bigint, embedding array<float>, query bigint, cosine string"
 
@@ -205,3 +206,13 @@ def test_pairs_of_documents(spark, monkeypatch):
     monkeypatch.setattr(lookalike, "SPELL_OUT", 1)
     assert {tuple(r) for r in lookalike.same_looking_pairs(frame).collect()} == {(1, 2), (1, 4), (6, 7), (8, 9)}
     assert frame.select(F.max("doc_id")).first()[0] == 9
+
+
+def test_all_different_texts_of_a_large_form_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(tables, "BLOCK_ROWS", 16)
+    spellings = [f"{'a' * i}\u200b{'a' * (70 - i)}" for i in range(70)]  # more than 64 texts of one form
+    copies = [(1000 + i, spellings[0]) for i in range(5)]
+    frame = spark.createDataFrame([*enumerate(spellings), *copies, (2000, "b")], "doc_id bigint, text string")
+    got = [tuple(r) for r in lookalike.same_looking_pairs(frame).collect()]
+    want = {(a, b) for a in range(70) for b in range(a + 1, 70)} | {(b, 1000 + i) for b in range(1, 70) for i in range(5)}
+    assert len(got) == len(set(got)) and set(got) == want
