@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ..sources.tables import roughly_in, spread
+from ..sources.tables import pairs_within, roughly_in, spread
 from . import shingles
 
 PLACES = 128
 RUN = 4
-#: Classes of copies of up to so many members are written out in pairs; of larger ones every member is paired with the first.
+#: Up to so many copies of one identical text are written out in pairs; of more every copy is paired with the first.
 SPELL_OUT = 32
 
 
@@ -40,7 +40,10 @@ def least_matches(threshold: float, places: int = PLACES, sure: float = 3.8) ->
 
 
 def signatures(records: DataFrame, width: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, c1, c2, sig``: records of at least ``min_words`` words; ``c1, c2`` are equal for equal word sequences."""
+    """``id, c1, c2, t1, t2, sig``: records of at least ``min_words`` words.
+
+    ``c1, c2`` are equal for equal word sequences, ``t1, t2`` for identical texts.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,11 +54,13 @@ def signatures(records: DataFrame, width: int, min_words: int, id_col: str, text
                 keep = np.flatnonzero(count >= max(min_words, width))
                 ids = batch.column(0).take(pa.array(first + keep))
                 packed = pa.array([sig[i].tobytes() for i in keep.tolist()], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c1[keep].view(np.int64)), pa.array(c2[keep].view(np.int64)), packed], ["id", "c1", "c2", "sig"])
+                t1, t2 = (batch.column(c).take(pa.array(first + keep)) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(c1[keep].view(np.int64)), pa.array(c2[keep].view(np.int64)), t1, t2, packed], ["id", "c1", "c2", "t1", "t2", "sig"])
 
     slim = records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     slim = slim.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return spread(slim).mapInArrow(sign, "id bigint, c1 bigint, c2 bigint, sig binary")
+    slim = spread(slim).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
+    return slim.mapInArrow(sign, "id bigint, c1 bigint, c2 bigint, t1 bigint, t2 bigint, sig binary")
 
 
 def index_entries(signed: DataFrame) -> DataFrame:
@@ -88,7 +93,8 @@ def _verified(pairs: DataFrame, threshold: float, width: int) -> DataFrame:
 def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """The classes of equal word sequences, and the links between classes.
 
-    * members: ``id, class_id``, one row per record that takes part; ``class_id`` is the least id of its class.
+    * members: ``id, class_id, text``, one row per record that takes part; ``class_id`` is the least id of its
+      class, ``text`` is equal for identical texts.
     * links: ``id_a, id_b, similarity`` between class ids, ``id_a < id_b``, similarity >= ``threshold``.
 
     Records with a NULL id or text, with fewer than ``min_words`` words, or with too few words for one
@@ -98,8 +104,8 @@ def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, m
     signed = durable(signatures(records, width, min_words, id_col, text_col))
     classes = signed.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.max("id").alias("last"))
     copied = classes.where("class_id < last").select("c1", "c2", "class_id")
-    member = signed.select("id", "c1", "c2").join(copied, ["c1", "c2"], "left")
-    members = member.select("id", F.coalesce("class_id", "id").alias("class_id")).distinct()
+    member = signed.select("id", "c1", "c2", F.struct("t1", "t2").alias("text")).join(copied, ["c1", "c2"], "left")
+    members = member.groupBy("id", F.coalesce("class_id", "id").alias("class_id")).agg(F.min("text").alias("text"))
     spare = member.where("id <> class_id").select("id").distinct()
     firsts = signed.select("id", "sig").join(spare, "id", "left_anti")
     entries = index_entries(firsts)
@@ -137,22 +143,25 @@ def _equal_bytes(pairs: DataFrame, least: int) -> DataFrame:
 def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """``id_a, id_b``: pairs of different ids whose similarity is at least ``threshold``.
 
-    Classes of copies of up to ``SPELL_OUT`` members are written out: all pairs within, and every member
-    with every member of a linked class. Of a larger class every member is paired with the first one, which
-    alone carries the links to other texts; no link between different texts is lost.
+    Classes are written out: all pairs within, and every member with every member of a linked class. Only of
+    more than ``SPELL_OUT`` copies of one identical text every copy is paired with the first one, which alone
+    carries the links to other texts; no link between different texts is lost.
     """
     members, links = linked_classes(records, threshold, width, min_words, id_col, text_col)
     members = durable(members)
     size = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
     copied = members.join(size, "class_id")
-    spoken = copied.where((F.col("n") <= SPELL_OUT) | (F.col("id") == F.col("class_id"))).select("class_id", "id")
+    # a class of few members has no text of many copies
+    large = copied.where(F.col("n") > SPELL_OUT)
+    texts = large.groupBy("class_id", "text").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    told = large.join(texts, ["class_id", "text"]).select("class_id", "id", "n", "copies", "first")
+    star = (F.col("copies") > SPELL_OUT) & (F.col("id") > F.col("first"))
+    spoken = durable(copied.where(F.col("n") <= SPELL_OUT).select("class_id", "id", "n").union(told.where(~star).select("class_id", "id", "n")))
     a = spoken.select(F.col("class_id").alias("id_a"), F.col("id").alias("of_a"))
     b = spoken.select(F.col("class_id").alias("id_b"), F.col("id").alias("of_b"))
     across = links.join(a, "id_a", "left").join(b, "id_b", "left").select(F.coalesce("of_a", "id_a").alias("x"), F.coalesce("of_b", "id_b").alias("y"))
-    small = copied.where(F.col("n") <= SPELL_OUT)
-    within = small.select("class_id", F.col("id").alias("x")).join(small.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y")
-    star = copied.where((F.col("n") > SPELL_OUT) & (F.col("id") > F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("id").alias("y"))
-    every = across.union(within).union(star)
+    within = pairs_within(spoken, ["class_id"], "id", "n")
+    every = across.union(within).union(told.where(star).select(F.col("first").alias("x"), F.col("id").alias("y")))
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

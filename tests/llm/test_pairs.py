@@ -157,6 +157,18 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicate_pairs(frame.limit(0), 0.7, 3, 30).count() == 0
 
 
+def test_different_texts_of_a_large_class_keep_their_pairs(spark):
+    words = [f"w{i}" for i in range(60)]
+    plain = " ".join(words)
+    texts = [" ".join(words[:i] + [words[i].upper()] + words[i + 1 :]) for i in range(40)]  # one class, 40 different texts
+    near = [f"{plain} more", f"{plain}! more"]
+    rows = [*enumerate(texts + near), *((100 + i, plain) for i in range(35))]  # and one text 35 times
+    frame = spark.createDataFrame(rows, "id bigint, content string")
+    got = [tuple(r) for r in neardup.near_duplicate_pairs(frame, 0.7, 3, 30).collect()]
+    want = {(a, b) for a in range(42) for b in [*range(a + 1, 42), 100]} | {(100, 100 + i) for i in range(1, 35)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(7)
     order = rng.sample(range(200), 200)
