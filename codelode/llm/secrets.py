@@ -1,7 +1,7 @@
 """Credentials embedded in source code: find the literals, redact only their contents.
 
-Chunks that hold no credential word, URL with a user, private key or token of a known shape are passed over
-by a pattern in the JVM. The others are tokenised line by line: comments, string literals of every quoting
+Chunks that hold no credential word, URL with a user, private key, token of a known shape or joined literals are
+passed over by a pattern in the JVM, which lets through all that the detectors can find. The others are tokenised line by line: comments, string literals of every quoting
 style, names and operators. A literal is a secret when a credential-named identifier (or key, argument,
 comment label) is assigned it or passed with it and it is no placeholder, reference, prose, digest or public
 key; and wherever it lies, when it is a password in a URL, a coded user:password pair, a bearer token, a
@@ -84,8 +84,15 @@ _COMMENT = re.compile(r"(?:^|\s)(?://|#|--\s|/\*|<!--|\*\s|;)\s?(.*)$")
 _INLINE_ENV = re.compile(r"(?<![\w.\-])([A-Za-z_][\w.\-]*)=([^\s\"'`;|&)]+)")
 _UNQUOTED = {"yaml", "properties", "toml", "ini", "shell", "dockerfile", "markdown", "config", ""}
 
-#: What a chunk must hold for the tokeniser to look at it, as a Java pattern.
-CANDIDATE = r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|:[^\s@]{3,}@[\w\[.-]|(?:-u|--user|--proxy-user)[ =]+\S+:|BEGIN [A-Z0-9 ]*PRIVATE|\b(?:basic|bearer) +[A-Za-z0-9+/=_.-]{8}|(?-i:\b[a-z][a-z0-9_-]{1,20}[_.-][A-Za-z0-9]{18})|\beyJ[A-Za-z0-9_-]{8,}\.|AKIA|\bgh[pousr]_|xox[abprs]-"
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What a chunk must hold for the tokeniser to look at it, as a pattern for Java and Python alike. Each branch is what
+#: detectors cannot do without: words of names and labels, URLs with a user, options with user:password, schemes,
+#: token shapes, and where literals are joined, as what is looked for may begin in one and end in another.
+CANDIDATE = (
+    r"(?i)pass|pwd|secret|token|key|credential|auth|clave|contrase|bearer|identified[^A-Za-z0-9_]+by|://[^\s/:@\"'`<>]*:[^\s/\"'`<>]*@|(?:-u|--user|--proxy-user)[ =]+[^\n]*:|"
+    r"(?-i:Basic[^A-Za-z0-9_]+[A-Za-z0-9+/=_.~-]{8}|(?<![A-Za-z0-9+/_.-])[a-z][a-z0-9]{1,9}(?:[_-][a-z][a-z0-9]{1,7}){0,2}[_.-][A-Za-z0-9]{18}|eyJ|AKIA|gh[pousr]_|github_pat_|xox[abprs]-|[sr]k_live_|glpat-|npm_|AIza|SG\.)|"
+    rf"[\"'`]{_BLANK}*(?:\+|\.|\\?\n){_BLANK}*[\"'`]"
+)
 
 
 def is_credential_name(name: str) -> bool:
@@ -180,8 +187,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
     for i, line in enumerate(lines):
         if i <= pem_until:
             continue
-        if len(line) > 20000 and not re.search(CANDIDATE, line):
-            carry = None
+        if len(line) > 20000 and not carry and not re.search(CANDIDATE, line):
             continue
         pem = _PEM.search(line)
         if pem:

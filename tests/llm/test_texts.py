@@ -167,6 +167,22 @@ def test_secrets_that_only_the_joined_literals_show():
     assert secrets.redact(text, spans) == 'u := "mysql://svc_ba" +\n\t"dge:REDACTED@vault-6.example.test:6006/driver"\nt = f("REDACTED" + "")'
 
 
+#: Chunks without a credential word: what is hidden, by each detector.
+WORDLESS = [
+    ("go", 'u := "postgres://app:Tr0ub4dor@${DB_HOST}/x"'), ("go", 'u := "postgres://app:Tr0ub4dor@" + host'), ("go", 'u := "amqp://svc:" + "Qz7Lp9x" + "@mq.local"'),
+    ("go", 'k := "AIza' + "SyD3fGh1JkLmN0pQrStUvWxYz12345678ab" + '"'), ("go", 'k := "SG.' + "aB3dE6gH9jK2mN5pQ8sT.uV1wX4yZ7aB0cD3eF6gH" + '"'), ("go", 'k := "glpat-' + "aB3_dE6gH9_jK2mN5pQ8" + '"'), ("go", 'k := "sk_live_' + "aB3dE6gH9jK2mN5p" + '"'),
+    ("go", 'k := "rk_live_' + "aB3dE6gH9jK2mN5p" + '"'), ("go", 'k := "AK" + "IA' + "3XQZ7PLMWN5RTYBD" + '"'), ("go", 'k := "abcdefghij_abcdefgh_abcdefgh_' + "aB3dE6gH9jK2mN5pQ8" + '"'), ("sql", "CREATE ROLE x IDENTIFIED BY 'Stage&8012radar';"),
+    ("shell", 'curl -u "the admin:S3cret99" https://x'), ("java", 'h("Basic\tc3ZjLWNsb2NrOkNWVUcyeFhSZUJkem1yWSFzdg==");'), ("go", 'bearer := "ScVLJcyTfKw50y55"'),
+]
+
+
+def test_no_detector_finds_what_the_filter_passes_over(spark):
+    assert all(secrets.find_secrets(line, language) for language, line in WORDLESS)
+    frame = spark.createDataFrame([chunk(i, "a", line, language) for i, (language, line) in enumerate(WORDLESS)], CHUNKS)
+    assert {r.id for r in secrets.secret_lines(frame).collect()} == set(range(len(WORDLESS)))
+    assert all(r.content != WORDLESS[r.id][1] for r in secrets.redacted_chunks(frame).collect())
+
+
 def test_secret_rows(spark):
     rows = [chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(2, "a", None, "go"), chunk(3, "a", "", None), chunk(None, "a", 'password = "Abc12345!"', "python"), chunk(4, "a", "y" * 300_000 + '\ntoken = "Abc12345678"', "python")]
     frame = spark.createDataFrame(rows, CHUNKS)
