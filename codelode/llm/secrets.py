@@ -41,6 +41,10 @@ _PLACEHOLDER = re.compile(
     re.I | re.X | re.S,
 )
 _REFERENCE = re.compile(r"^(?:vault|env|ssm|secret|secrets|arn|gcp|aws|azure|keyvault|op|kms|file|ref|sops|doppler|config|keyring|k8s|https?)[:/]|^(?:/|\./|\.\./|~/)(?-i:[a-z0-9_.\-]+/)*(?-i:[a-z0-9_.\-]+)$|^(?:process|os|System|config|settings|secrets|vault|env|ctx|self|this|Deno|import)\.[\w.]+|^!(?:Ref|Sub|vault|secret)\b", re.I)
+#: Names of nothing but passwords: a literal given to them straight away is one, however short or plain.
+_PASSWORD = re.compile(r"(?:^|[_.\-$@/]|(?<=[a-z0-9])(?=[A-Z]))(?:passw(?:or)?d|passwrd|passphrase|passcode|contrasena)(?:[_\-.]?(?:value|plain|literal|default|old|new|prod|staging|dev|test))?(?:[_\-.]?v?\d+)?$", re.I)
+#: What a plain word given to a password name may be instead: the label or the name of a field, a type, a kind.
+_KIND = re.compile(r"passw|passphrase|passcode|pwd|secret|token|credential|contrase|^(?:text|varchar|char|str|bytes|bool|basic|field|prompt|vault|env)$", re.I)
 _UUID = re.compile(r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$", re.I)
 _HEX = re.compile(r"^(?:sha\d+[:\-])?[0-9a-f]{7,}$", re.I)
 #: Shapes of well-known tokens.
@@ -108,15 +112,28 @@ def is_credential_name(name: str) -> bool:
     return bool(_NAME.search(name))
 
 
-def is_secret(value: str, named: bool = True) -> bool:
-    """Whether a literal's content can be a secret, given that its name is a credential's."""
+def is_password_name(name: str) -> bool:
+    """Whether a credential's name can be that of a password only."""
+    return bool(_PASSWORD.search(name.strip("\"'`[]() ")))
+
+
+def is_secret(value: str, named: bool = True, sure: bool = False) -> bool:
+    """Whether a literal's content can be a secret, given that its name is a credential's.
+
+    ``sure``: the name is a password's and the literal is assigned to it; then plain words and short
+    literals count too.
+    """
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or any(c.isspace() for c in v):
+    if not v or (len(v) < 6 and not sure) or any(c.isspace() for c in v):
         return False
     if _PLACEHOLDER.match(v) or _REFERENCE.match(v) or _UUID.match(v) or "PUBLIC KEY" in v:
         return False
     if re.match(r"^(?:sha\d+|md5)[:\-]", v, re.I):
         return False
+    if sure and v.isascii() and (v.isdigit() or re.fullmatch(r"[a-z]+(?:[_-][a-z]+)*|(?![A-Z][a-z]+$)[A-Z]?[a-z]+(?:[A-Z][a-z]*)*", v)):
+        return not _KIND.search(v)
+    if sure and len(v) < 6:
+        return v.isascii() and v.isalnum() and not _KIND.search(v)
     kinds = bool(re.search(r"\d", v)) + bool(re.search(r"[^A-Za-z0-9]", v)) + bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v))
     if not kinds:
         return False
@@ -200,7 +217,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
                 at = None
             else:
                 body.append(tail)
-                for j in range(i + 1, min(len(lines), i + 200)):
+                for j in range(i + 1, len(lines)):
                     if "-----END" in lines[j]:
                         last = j
                         break
@@ -254,18 +271,19 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
                 continue
             last_kind = ""
             name = _BEFORE.search(before)
-            credential = False
+            credential = sure = False
             if name and is_credential_name(name.group(1)) and name.group(2) not in ("==", "!="):
+                sure = name.group(2) != "," and is_password_name(name.group(1))
                 credential = name.group(2) != "," or name.group(1)[0] in "\"'`" and not re.search(r"[:=]\s*$", before[: name.start(1)])
             elif _SQL.search(before) and language == "sql":
-                credential = True
+                credential = sure = True
             elif not before.strip() and carry and carry[1] == "=":
-                credential = True
+                credential, sure = True, is_password_name(carry[0])
             if credential:
                 whole = value + "".join(x.group(1) or x.group(2) or "" for x in strings if x.start() > m.start() and re.fullmatch(r"\s*\+?\s*", _between(code, m, x, strings)))
                 if _URL.search(whole):
                     pass
-                elif is_secret(whole):
+                elif is_secret(whole, sure=sure):
                     add(i, m.start(g), m.end(g), "literal")
                     last_kind, last_end, matched = "literal", m.end(), True
         after = code[strings[-1].end() :] if strings else code
@@ -278,7 +296,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
         if not strings and not matched and (language in _UNQUOTED):
             m = _BARE.match(code)
             if m and is_credential_name(m.group(1)) and (not m.group(2).isspace() or re.match(r"\s*(?:ENV|ARG)\s", code)):
-                if is_secret(m.group(3)) and not _URL.search(m.group(3)):
+                if is_secret(m.group(3), sure=language not in ("markdown", "") and is_password_name(m.group(1))) and not _URL.search(m.group(3)):
                     add(i, m.start(3), m.end(3), "literal")
         if language in ("shell", "dockerfile", "markdown"):
             for m in _INLINE_ENV.finditer(code):
@@ -297,7 +315,7 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
             for m in _XML.finditer(line):
                 g = 1 if m.group(1) else 3 if m.group(3) else 5
                 bare_key = m.group(g).lower() == "key" and len(m.group(g + 1)) >= 16 and re.search(r"\d", m.group(g + 1)) and _scrambled(m.group(g + 1))
-                if (is_credential_name(m.group(g)) or bare_key) and is_secret(m.group(g + 1)) and not _URL.search(m.group(g + 1)):
+                if (is_credential_name(m.group(g)) or bare_key) and is_secret(m.group(g + 1), sure=language == "xml" and is_password_name(m.group(g))) and not _URL.search(m.group(g + 1)):
                     add(i, m.start(g + 1), m.end(g + 1), "literal")
         for m in _MARKED.finditer(line):
             if is_credential_name(m.group(1)) and is_secret(m.group(2)):

@@ -183,6 +183,33 @@ def test_no_detector_finds_what_the_filter_passes_over(spark):
     assert all(r.content != WORDLESS[r.id][1] for r in secrets.redacted_chunks(frame).collect())
 
 
+PLAIN = [
+    ("python", 'password = "letmein"', "letmein"), ("go", 'dbPassword := "sunshine"', "sunshine"), ("python", 'passphrase = "correct-horse-battery"', "correct-horse-battery"), ("java", 'String password = "123456";', "123456"),
+    ("json", '"password": "LetMeIn"', "LetMeIn"), ("python", 'password = "abc1"', "abc1"), ("yaml", "password: letmein", "letmein"), ("sql", "CREATE ROLE x IDENTIFIED BY 'tiger';", "tiger"), ("xml", "<password>letmein</password>", "letmein"),
+    ("python", 'api_key = "' + "aB3d" * 2000 + '"', "aB3d" * 2000), ("python", 'password = \\\n  "letmein"', "letmein"),
+]
+LABELS = [
+    ("json", '"password": "Passwort"'), ("json", '"password": "Kennwort"'), ("python", 'field(password="password")'), ("typescript", "{ password: 'text' }"), ("python", 'password = "DB_PASSWORD"'), ("python", 'token = "keyword"'), ("yaml", "password: changeme"),
+    ("json", '"password": "required"'), ("python", 'password = "${PW}"'),
+]
+
+
+@pytest.mark.parametrize("language, line, secret", PLAIN)
+def test_plain_literals_given_to_password_names(language, line, secret):
+    assert [line[a:b] for _, a, b, _ in secrets.find_secrets(line, language)] == [secret]
+
+
+@pytest.mark.parametrize("language, line", LABELS)
+def test_labels_and_kinds_are_no_passwords(language, line):
+    assert secrets.find_secrets(line, language) == []
+
+
+def test_private_keys_of_any_length():
+    body = [f"MIIabc12MIIabc12{i:08d}" for i in range(300)]
+    text = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+    assert "MII" not in secrets.redact(text, secrets.find_secrets(text, ""))
+
+
 def test_secret_rows(spark):
     rows = [chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(1, "a", 'x\npassword = "Abc12345!"', "python", 41), chunk(2, "a", None, "go"), chunk(3, "a", "", None), chunk(None, "a", 'password = "Abc12345!"', "python"), chunk(4, "a", "y" * 300_000 + '\ntoken = "Abc12345678"', "python")]
     frame = spark.createDataFrame(rows, CHUNKS)
