@@ -2,9 +2,10 @@
 
 Per chunk the JVM counts lines, longest line, white space, letters and digits, numeric literals and long
 encoded runs; the counts of a file are sums and maxima of those of its chunks, so only a few numbers per
-chunk are shuffled and a file may be of any length. Thresholds on the shares, tuned per language, tell
-minified files and data in source form; the place of a file and its own header statement tell generated and
-vendored ones.
+chunk are shuffled and a file may be of any length. Thresholds per language on white space and mean line tell
+minified files, those on digits, encoded runs and numeric literals data in source form; the place of a file and
+its own header statement tell generated and vendored ones. Longest line and share of letters and digits are
+given but decide nothing: one long line makes no case, and the shares of all kinds overlap.
 """
 
 from __future__ import annotations
@@ -57,18 +58,19 @@ VENDORED_STATEMENT = _MARK + "(?:" + "|".join(
 NO_STATEMENT = r"(?i)%[sdvq]\b|\{\{|\$\{|\{\w*\}|<%|\bunlike\b|\bhand-?written\b|(?:kept|written|maintained|made|edited) by hand\b|\bnot (?:auto-?)?(?:generated|vendored|copied)\b|hecho a mano"
 
 #: language -> white space share below and mean line length above which a file is minified, share of digits
-#: above which it is data, share of long encoded runs above which it is data, least characters for either.
+#: above which it is data, share of long encoded runs above which it is data, least characters for either, numeric
+#: literals a character above which it is data (padded tables of short numbers, with few digits for their length).
 THRESHOLDS = {
-    "": (0.05, 200.0, 0.25, 0.5, 300),
-    "javascript": (0.07, 100.0, 0.25, 0.5, 300),
-    "typescript": (0.07, 100.0, 0.25, 0.5, 300),
-    "css": (0.08, 100.0, 0.30, 0.5, 300),
-    "json": (0.02, 400.0, 0.35, 0.5, 300),
-    "properties": (0.01, 400.0, 0.40, 0.8, 300),  # settings hold digests and keys beside little text
-    "yaml": (0.02, 400.0, 0.45, 0.8, 300),
-    "toml": (0.02, 400.0, 0.45, 0.8, 300),
-    "dockerfile": (0.02, 400.0, 0.45, 0.8, 300),
-    "markdown": (0.02, 400.0, 0.40, 0.8, 300),
+    "": (0.05, 200.0, 0.25, 0.5, 300, 0.06),
+    "javascript": (0.07, 100.0, 0.25, 0.5, 300, 0.06),
+    "typescript": (0.07, 100.0, 0.25, 0.5, 300, 0.06),
+    "css": (0.08, 100.0, 0.30, 0.5, 300, 0.1),
+    "json": (0.02, 400.0, 0.35, 0.5, 300, 0.1),
+    "properties": (0.01, 400.0, 0.40, 0.8, 300, 0.1),  # settings hold digests and keys beside little text
+    "yaml": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
+    "toml": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
+    "dockerfile": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
+    "markdown": (0.02, 400.0, 0.40, 0.8, 300, 0.1),
 }
 ENCODED_RUN = r"[A-Za-z0-9+/=]{40,}"
 NUMBER = r"\b[0-9][0-9A-Fa-fxX._]*\b"
@@ -137,7 +139,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     inside = path.rlike("/(" + "|".join(VENDOR_FOLDERS) + ")/")
     long_enough = F.col("chars") >= _threshold(4)
     minified = long_enough & (F.col("space_share") < _threshold(0)) & (F.col("mean_line") > _threshold(1))
-    data = long_enough & ((F.col("digit_share") > _threshold(2)) | (F.col("encoded_share") > _threshold(3)))
+    data = long_enough & ((F.col("digit_share") > _threshold(2)) | (F.col("encoded_share") > _threshold(3)) | (F.col("number_density") > _threshold(5)))
     kind = (
         F.when(inside | (F.col("vendored") > 0), "vendored")
         .when((F.col("generated") > 0) | path.rlike(GENERATED_NAME), "generated")

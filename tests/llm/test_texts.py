@@ -60,6 +60,13 @@ def test_kinds(spark, path, text, language, kind):
     assert handwritten.not_handwritten(frame.limit(0)).count() == 0
 
 
+def test_padded_tables_of_short_numbers_are_data(spark):
+    table = "STEPS = [\n" + "".join("    " + ", ".join(f"{(i * j) % 9:>5}" for j in range(12)) + ",\n" for i in range(40)) + "]\n"
+    assert sum(c.isdigit() for c in table) < 0.25 * len(table)
+    frame = spark.createDataFrame([chunk(1, "/r/t.py", table, "python"), chunk(2, "/r/a.go", CODE, "go")], CHUNKS)
+    assert {r.file_path: r.kind for r in handwritten.classify_files(frame).collect()} == {"/r/t.py": "data", "/r/a.go": "hand-written"}
+
+
 # ---- splitting ------------------------------------------------------------------------------------------
 def test_range_maximum_takes_the_rightmost():
     import numpy as np
