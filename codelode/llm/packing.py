@@ -215,10 +215,14 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list
             left.take(s)
         chosen.append(step[1])
         waste = before + step[0]
+        if waste > allowed:  # choices of before the last solution
+            continue
         if not left.order:
             solution = [(t, *c) for (_, t, _), c in zip(stack, chosen)]
-            break
-        if waste <= allowed:
+            if len(solution) == least:
+                break
+            allowed = (len(solution) - 1) * capacity - total
+        else:
             open_node()
     if solution is not None:
         by_size: dict[int, list[int]] = {}

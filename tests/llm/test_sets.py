@@ -135,3 +135,12 @@ def test_mix(spark, monkeypatch):
     small = mixing.mix_documents(docs, targets, total_tokens=whole // 2).collect()
     assert sum(r.tokens * r.repeats for r in small) == pytest.approx(whole // 2, rel=0.03)
     assert mixing.mix_documents(docs.limit(0), targets).count() == 0
+
+
+def test_search_goes_on_after_its_first_solution():
+    # best fit decreasing needs 13 containers, two more than the total demands
+    sizes = [35, 26, 37, 35, 28, 30, 38, 27, 36, 29, 39, 39, 28, 40, 37, 40, 38, 27, 38, 39, 29, 32, 37, 39, 34, 37, 28, 27, 37, 26, 26, 27]
+    assert len(packing.best_fit_decreasing(sizes, 100)) == 13 and packing.lower_bound(sizes, 100) == 11
+    bins, proved = packing.pack(sizes, 100, 2000)
+    assert proved and len(bins) == 11 and sorted(i for b in bins for i in b) == list(range(32))
+    assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
