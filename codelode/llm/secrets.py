@@ -420,5 +420,6 @@ def redacted_chunks(chunks: DataFrame) -> DataFrame:
         return content.combine(language, lambda c, l: None if c is None else redact(c, find_secrets(c, l)))
 
     language = F.col("language") if "language" in chunks.columns else F.lit(None).cast("string")
-    told = F.when(F.col("content").rlike(CANDIDATE), hide("content", language)).otherwise(F.col("content"))
+    # Spark runs the function on every row, whatever condition stands around it: what needs no look is given as NULL
+    told = F.coalesce(hide(F.when(F.col("content").rlike(CANDIDATE), F.col("content")), language), F.col("content"))
     return chunks.select(*other, told.alias("content"))
