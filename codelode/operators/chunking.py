@@ -1,14 +1,16 @@
 """Files cut into line-ranged chunks: ``file_path, language, chunk_no, start_line, end_line, content``.
 
-Tumbling lines and boundary-to-boundary chunks are array expressions without a shuffle. Blocks told by counting
-braces need an automaton over the lines of a file; it runs on Arrow batches and also needs no shuffle.
+Tumbling lines and boundary-to-boundary chunks are array expressions without a shuffle. Blocks between braces
+are read off running sums over a file's lines, on Arrow batches and also without a shuffle. A ``project`` of the
+files is kept, before ``file_path``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,46 +55,82 @@ def boundary_to_boundary(lines: Column, starts: Column, size: int = schema.MAX_L
     return F.when(count > 0, F.concat(prelude, blocks)).otherwise(tumbling(lines, size))
 
 
-# ---- brace automata --------------------------------------------------------------------------------------
+# ---- blocks between braces -------------------------------------------------------------------------------
 def _python_pattern(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.ASCII)
 
 
 _GO = _python_pattern(schema.GO_FUNCTION.replace(r"\s", r"[\t\n\f\r ]"))
 _JS = _python_pattern(schema.boundary_pattern("javascript"))
-_EXPRESSION = ("=", "function", "class ")
-_TERMINATORS = (";", ")", ">")
-
-
-def _go_end(lines: list[str], at: int) -> int:
-    """The line on which the braces opened from ``at`` on are closed; the last line if they are not."""
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        opened = opened or "{" in lines[i]
-        depth += lines[i].count("{") - lines[i].count("}")
-        if opened and depth <= 0:
-            return i
-    return len(lines) - 1
-
-
-def _js_end(lines: list[str], at: int) -> int:
-    """The last line of the block begun at ``at``: closing brace, end of an expression, or before another start."""
-    braces = parens = 0
-    opened = expression = False
-    for i in range(at, len(lines)):
-        line, bare = lines[i], lines[i].strip()
-        opened = opened or "{" in line
-        braces += line.count("{") - line.count("}")
-        parens += line.count("(") - line.count(")")
-        expression = expression or any(word in line for word in _EXPRESSION)
-        if opened:
-            if braces <= 0:
-                return i
-        elif expression and parens <= 0 and (not bare or bare.endswith(_TERMINATORS)):
-            return i
-        elif i > at and _JS.search(bare):
-            return i - 1
-    return len(lines) - 1
+#: What shows that an expression has begun on a line, and what the last line of one ends with.
+EXPRESSION_WORDS = ["=", "function", "class "]
+EXPRESSION_ENDS = [";", ")", ">"]
+
+
+def _lines_where(flags: Iterable[bool]) -> np.ndarray:
+    return np.flatnonzero(np.fromiter(flags, dtype=bool))
+
+
+def _next(places: np.ndarray, line: int, none: int) -> int:
+    """The first of the sorted places at or after a line."""
+    k = int(np.searchsorted(places, line))
+    return int(places[k]) if k < len(places) else none
+
+
+def _running(lines: list[str], bracket: str) -> np.ndarray:
+    """How many more brackets of a kind have been opened than closed before each line, and after the last."""
+    return np.cumsum([0, *(x.count(bracket[0]) - x.count(bracket[1]) for x in lines)])
+
+
+def _first_level(depth: np.ndarray, level: int, places: np.ndarray, none: int) -> int:
+    """The first of the places behind whose line ``depth`` is at most ``level``; looked for in ever wider windows."""
+    at, width = 0, 16
+    while at < len(places):
+        here = places[at : at + width]
+        low = depth[here + 1] <= level
+        if low.any():
+            return int(here[low.argmax()])
+        at, width = at + width, 2 * width
+    return none
+
+
+class Outline:
+    """A file's lines as sums and sorted places, of which the last line of the block that begins on a line is read off."""
+
+    def __init__(self, lines: list[str], language: str):
+        bare = [x.strip() for x in lines]
+        self.n, self.lines = len(lines), np.arange(len(lines))
+        self.starts = _lines_where(bool((_GO if language == "go" else _JS).search(x)) for x in bare)
+        self.braces, self.open_lines = _running(lines, "{}"), _lines_where("{" in x for x in lines)
+        self.expressions = language != "go"
+        if self.expressions and len(self.starts):
+            self.parens = _running(lines, "()")
+            self.words = _lines_where(any(w in x for w in EXPRESSION_WORDS) for x in lines)
+            self.ends = _lines_where(not x or x.endswith(tuple(EXPRESSION_ENDS)) for x in bare)
+
+    def last_line(self, start: int) -> int:
+        """Where the braces opened from ``start`` on are closed again, or the last line.
+
+        Expressions may end before any brace: on their last line, at balanced parentheses, or before the line
+        on which another block starts.
+        """
+        brace = _next(self.open_lines, start, self.n)
+        if self.expressions:
+            other = _next(self.starts, start + 1, self.n)
+            begin = max(start, _next(self.words, start, self.n))
+            within = self.ends[np.searchsorted(self.ends, begin) : np.searchsorted(self.ends, min(brace, other + 1))]
+            end = _first_level(self.parens, self.parens[start], within, self.n)
+            if min(end, other) < brace:
+                return end if end <= other else other - 1
+        return min(_first_level(self.braces, self.braces[start], self.lines[brace:], self.n), self.n - 1)
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """First and last line, from 0, of each block; a start within a block begins none."""
+        out, at = [], _next(self.starts, 0, self.n)
+        while at < self.n:
+            out.append((at, self.last_line(at)))
+            at = _next(self.starts, out[-1][1] + 1, self.n)
+        return out
 
 
 def brace_blocks(lines: list[str], language: str, size: int = schema.MAX_LINES) -> list[tuple[int, int, str]]:
@@ -101,20 +139,15 @@ def brace_blocks(lines: list[str], language: str, size: int = schema.MAX_LINES)
     That chunk is said to reach from line 1 to the last of its lines, so it may span blocks. Without any
     block the lines are tumbled.
     """
-    opens, ends = (_GO, _go_end) if language == "go" else (_JS, _js_end)
-    blocks, outside, last, i = [], [], 0, 0
-    while i < len(lines):
-        if opens.search(lines[i].strip()):
-            end = max(i, ends(lines, i))
-            blocks.append((i + 1, end + 1, "\n".join(lines[i : end + 1])))
-            i = end + 1
-        else:
-            outside.append(lines[i])
-            i += 1
-            last = i
-    if not blocks:
+    spans = Outline(lines, language).blocks()
+    if not spans:
         return [(s + 1, min(s + size, len(lines)), "\n".join(lines[s : s + size])) for s in range(0, len(lines), size)]
-    return [(1, last, "\n".join(outside)), *blocks] if outside else blocks
+    outside = np.ones(len(lines), dtype=bool)
+    for a, b in spans:
+        outside[a : b + 1] = False
+    rest = np.flatnonzero(outside).tolist()
+    head = [(1, rest[-1] + 1, "\n".join(lines[i] for i in rest))] if rest else []
+    return head + [(a + 1, b + 1, "\n".join(lines[a : b + 1])) for a, b in spans]
 
 
 def split_lines(text: str) -> list[str]:
@@ -123,31 +156,38 @@ def split_lines(text: str) -> list[str]:
     return lines[:-1] if lines[-1] == "" else lines
 
 
+def _keys(files: DataFrame) -> list[str]:
+    return [c for c in ("project", "file_path", "language") if c in files.columns]
+
+
 def _with_lines(files: DataFrame) -> DataFrame:
-    return files.where("content IS NOT NULL").select("file_path", "language", lines_of(F.col("content")).alias("lines"))
+    return files.where("content IS NOT NULL").select(*_keys(files), lines_of(F.col("content")).alias("lines"))
 
 
 def _with_pieces(files: DataFrame, pieces: Column) -> DataFrame:
-    exploded = files.select("file_path", "language", F.posexplode(pieces).alias("chunk_no", "piece"))
-    return exploded.select("file_path", "language", "chunk_no", "piece.start_line", "piece.end_line", "piece.content")
+    exploded = files.select(*_keys(files), F.posexplode(pieces).alias("chunk_no", "piece"))
+    return exploded.select(*_keys(files), "chunk_no", "piece.start_line", "piece.end_line", "piece.content")
 
 
 def brace_chunks(files: DataFrame, size: int = schema.MAX_LINES) -> DataFrame:
     """Chunks of Go and JavaScript-family files, by braces."""
+    keys = _keys(files)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk_no", "start_line", "end_line", "content"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows = [
-                (path, language, k, start, end, text)
-                for path, language, content in zip(*(c.to_pylist() for c in batch.columns))
-                for k, (start, end, text) in enumerate(brace_blocks(split_lines(content), language, size))
-            ]
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["file_path", "language", "chunk_no", "start_line", "end_line", "content"])
-
-    schema_ = "file_path string, language string, chunk_no int, start_line int, end_line int, content string"
-    return files.select("file_path", "language", "content").where("content IS NOT NULL").mapInArrow(cut, schema_)
+            source, rows = [], []
+            for row, (language, content) in enumerate(zip(batch.column("language").to_pylist(), batch.column("content").to_pylist())):
+                for k, piece in enumerate(brace_blocks(split_lines(content), language, size)):
+                    source.append(row)
+                    rows.append((k, *piece))
+            cols = list(zip(*rows)) or [[]] * 4
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), *(pa.array(c, t) for c, t in zip(cols, kinds))], [*keys, *names])
+
+    schema_ = ", ".join(f"{c} string" for c in keys) + ", chunk_no int, start_line int, end_line int, content string"
+    return files.select(*keys, "content").where("content IS NOT NULL").mapInArrow(cut, schema_)
 
 
 def line_chunks(files: DataFrame, size: int = schema.MAX_LINES) -> DataFrame:

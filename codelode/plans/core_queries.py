@@ -565,25 +565,54 @@ def boundary_chunks(spark, sf_dir):
     return _document_chunks(chunking.boundary_chunks(_documents(spark, sf_dir)))
 
 
-def _files(spark, sf_dir, languages):
+def _files(spark, sf_dir, languages=None):
     from ..sources.files import current_files
 
-    return current_files(table(spark, sf_dir, "code_chunks").where(F.col("language").isin(languages)))
+    rows = table(spark, sf_dir, "code_chunks")
+    return current_files(rows if languages is None else rows.where(F.col("language").isin(languages)))
 
 
-@query("go_chunks")
+def _blocks_sql(where: str) -> str:
+    """Chunks of the current files, in SQL: a table of lines with running sums, the end that each start would have,
+    and the starts that are reached from end to end.
+    """
+    depth = lambda a, b: f"sum(length(x) - length(replace(x, '{a}', '')) - length(x) + length(replace(x, '{b}', ''))) OVER w"
+    families = [("js", "javascript"), *((k, k) for k in schema.BOUNDARIES if k != "javascript")]
+    starts = f"CASE fam WHEN 'go' THEN regexp_matches(t, {_q(schema.GO_FUNCTION)}) " + " ".join(f"WHEN {_q(k)} THEN regexp_matches(t, {_q(schema.boundary_pattern(p))})" for k, p in families) + " ELSE false END"
+    words = " OR ".join(f"contains(x, {_q(w)})" for w in chunking.EXPRESSION_WORDS)
+    ends = " OR ".join(f"ends_with(t, {_q(w)})" for w in chunking.EXPRESSION_ENDS)
+    return f"""WITH RECURSIVE one AS (SELECT DISTINCT id, project, file_path, revision, language, start_line, coalesce(content, '') AS content FROM code_chunks WHERE {where}),
+cur AS (SELECT * FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path)),
+txt AS (SELECT project, file_path, max(language) AS language, string_agg(content, chr(10) ORDER BY start_line) AS text FROM cur GROUP BY project, file_path),
+f AS (SELECT row_number() OVER () AS f, project, file_path, language, CASE WHEN language IN {_in(schema.JS_FAMILY)} THEN 'js' ELSE language END AS fam, CASE WHEN {_LINES}[-1] = '' THEN {_LINES}[:-2] ELSE {_LINES} END AS lines FROM txt),
+l AS (SELECT f, fam, i, lines[i] AS x, {_trim("lines[i]")} AS t FROM f, unnest(range(1, len(lines) + 1)) AS u(i)),
+c AS (SELECT f, fam, i, {depth("{", "}")} AS b, {depth("(", ")")} AS p, contains(x, '{{') AS o, ({words}) AS e, (t = '' OR {ends}) AS z, {starts} AS s FROM l WINDOW w AS (PARTITION BY f ORDER BY i)),
+s AS (SELECT c.f, c.fam, c.i, coalesce(a.b, 0) AS b0, coalesce(a.p, 0) AS p0 FROM c LEFT JOIN c a ON a.f = c.f AND a.i = c.i - 1 WHERE c.s),
+m AS (SELECT s.*, len(any_value(f.lines)) AS n, coalesce(min(CASE WHEN c.o THEN c.i END), len(any_value(f.lines)) + 1) AS o, min(CASE WHEN c.e THEN c.i END) AS e, min(CASE WHEN c.s AND c.i > s.i THEN c.i END) AS nb
+  FROM s JOIN f ON f.f = s.f JOIN c ON c.f = s.f AND c.i >= s.i GROUP BY ALL),
+k AS (SELECT m.*, min(CASE WHEN c.z AND c.i >= m.e AND c.p <= m.p0 AND c.i < m.o THEN c.i END) AS x, min(CASE WHEN c.i >= m.o AND c.b <= m.b0 THEN c.i END) AS y FROM m JOIN c ON c.f = m.f AND c.i >= m.i GROUP BY ALL),
+ends AS (SELECT f, i, CASE WHEN fam IN ('python', 'java', 'shell', 'markdown') THEN coalesce(nb - 1, n) WHEN fam = 'js' AND x IS NOT NULL AND (nb IS NULL OR x <= nb) THEN x WHEN fam = 'js' AND nb < o THEN nb - 1 ELSE coalesce(y, n) END AS last FROM k),
+step AS (SELECT e.f, e.i, e.last, min(s.i) AS then_ FROM ends e LEFT JOIN s ON s.f = e.f AND s.i > e.last GROUP BY ALL),
+pick AS (SELECT * FROM step QUALIFY i = min(i) OVER (PARTITION BY f) UNION ALL SELECT t.* FROM pick JOIN step t ON t.f = pick.f AND t.i = pick.then_),
+rest AS (SELECT f, max(i) AS last, string_agg(x, chr(10) ORDER BY i) AS content FROM l WHERE f IN (SELECT f FROM pick) AND NOT EXISTS (SELECT 1 FROM pick WHERE pick.f = l.f AND l.i BETWEEN pick.i AND pick.last) GROUP BY f),
+piece AS (SELECT f, 1 AS a, last AS z, content, 0 AS late FROM rest UNION ALL SELECT pick.f, i, last, array_to_string(lines[i:last], chr(10)), 1 FROM pick JOIN f ON f.f = pick.f
+  UNION ALL SELECT f, a, least(a + {schema.MAX_LINES - 1}, len(lines)), array_to_string(lines[a:a + {schema.MAX_LINES - 1}], chr(10)), 1 FROM f, unnest(range(1, len(lines) + 1, {schema.MAX_LINES})) AS u(a) WHERE f NOT IN (SELECT f FROM pick))
+SELECT project, file_path, language, (row_number() OVER (PARTITION BY piece.f ORDER BY late, a) - 1)::INTEGER AS chunk_no, a::INTEGER AS start_line, z::INTEGER AS end_line, content FROM piece JOIN f ON f.f = piece.f"""
+
+
+@query("go_chunks", _blocks_sql("language = 'go'"))
 def go_chunks(spark, sf_dir):
     return chunking.brace_chunks(_files(spark, sf_dir, ["go"]))
 
 
-@query("js_chunks")
+@query("js_chunks", _blocks_sql("language IN ('javascript', 'typescript')"))
 def js_chunks(spark, sf_dir):
     return chunking.brace_chunks(_files(spark, sf_dir, ["javascript", "typescript"]))
 
 
-@query("chunk_files")
+@query("chunk_files", _blocks_sql("language IS NOT NULL"))
 def chunk_files(spark, sf_dir):
-    return chunking.chunk_files(_files(spark, sf_dir, ["go", "python", "javascript", "typescript", "java", "shell", "markdown", "json", "yaml", "sql"]))
+    return chunking.chunk_files(_files(spark, sf_dir))
 
 
 _BOUNDARY = "CASE " + f"WHEN language IN {_in(schema.JS_FAMILY)} THEN regexp_matches(x, {_q(schema.boundary_pattern('javascript'))}) " + " ".join(f"WHEN language = '{k}' THEN regexp_matches(x, {_q(schema.boundary_pattern(k))})" for k in schema.BOUNDARIES if k != "javascript") + " ELSE false END"

@@ -48,7 +48,7 @@ def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def current_files(chunks: DataFrame) -> DataFrame:
-    """``file_path, language, content``: the current revision of each file, put together from its chunks.
+    """``project, file_path, language, content``: the current revision of each file, put together from its chunks.
 
     One row per file, and so as large as the file: what a parser or chunker of whole files needs anyway.
     """
@@ -58,4 +58,4 @@ def current_files(chunks: DataFrame) -> DataFrame:
     current = slim.join(top, [*keys, "revision"]).dropDuplicates(["id"])
     pieces = F.array_sort(F.collect_list(F.struct("start_line", F.coalesce("content", F.lit("")).alias("content"))))
     files = current.groupBy(*keys).agg(F.max("language").alias("language"), pieces.alias("pieces"))
-    return files.select("file_path", "language", F.array_join(F.col("pieces.content"), "\n").alias("content"))
+    return files.select(*keys, "language", F.array_join(F.col("pieces.content"), "\n").alias("content"))
