@@ -37,6 +37,16 @@ def p2_found(spark, sf_dir):
     return knn.similar_pairs(table(spark, sf_dir, "code_chunks"))
 
 
+@query(
+    "p2_similar",
+    """WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e, len(embedding) AS size FROM code_chunks WHERE len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+p AS (SELECT a.size, a.id AS query, b.id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id AND a.size = b.size WHERE list_cosine_similarity(a.e, b.e) >= 0.92)
+SELECT size::INTEGER AS size, query, id, round(s, 6) AS cosine, row_number() OVER (PARTITION BY query ORDER BY s DESC, id)::INTEGER AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10""",
+)
+def p2_similar(spark, sf_dir):
+    return knn.neighbours_of_all(table(spark, sf_dir, "code_chunks")).withColumn("cosine", F.round("cosine", 6))
+
+
 @query(
     "p2_nearest_of_queries",
     f"""WITH {_VECTORS},
