@@ -4,8 +4,10 @@ The size of the mix is the largest at which no document is repeated more than it
 document of a source is then wanted the same, mostly fractional, number of times: its whole part for sure, its
 fraction as an inclusion probability. The flight moves the probabilities through the null space of the
 balancing constraints (number of documents, tokens) until all but a few are 0 or 1; that leaves both totals of
-every block as they were. What is left of all blocks of a source flies on together, in ever fewer blocks, and
-the last few documents land on the choice that comes nearest to the totals.
+every block as they were. Large documents are decided first. What is left of all blocks of a source flies on
+together, in ever fewer blocks, and the last few documents, the smallest, land on the choice that comes nearest to
+the totals. Up to there every document's inclusion probability is kept; the landing keeps the totals instead, for
+the at most ``RESERVE`` + 2 smallest undecided documents of a source.
 """
 
 from __future__ import annotations
@@ -22,21 +24,22 @@ from .tokens import VOCABULARY, token_counts
 
 #: Undecided documents that fly together in one task.
 BLOCK = 4_000
-#: Documents of a source that are decided in the landing, besides the two that the flight leaves.
+#: Documents of a source, the smallest, that are decided in the landing, besides the two that the flight leaves.
 RESERVE = 15
 
 
 def flight(p: list[float], tokens: list[int], seed: int) -> list[float]:
     """Probabilities of which all but two or fewer are 0 or 1, with the same sum and the same token total.
 
-    Three undecided units at a time: the direction that keeps both sums is unique, and of the two ends at
-    which some unit is decided one is drawn so that each unit's probability is kept on average.
+    Three undecided units at a time, the largest first: the direction that keeps both sums is unique, and of the
+    two ends at which some unit is decided one is drawn so that each unit's probability is kept on average.
     """
     rng = random.Random(seed)
     p = list(p)
     eps = 1e-9
     waiting = [i for i, x in enumerate(p) if eps < x < 1 - eps]
     rng.shuffle(waiting)
+    waiting.sort(key=lambda i: tokens[i])  # taken from the end
     active: list[int] = []
     while True:
         while len(active) < 3 and waiting:
@@ -71,13 +74,8 @@ def landing(p: list[float], tokens: list[int]) -> list[int]:
 
 
 def reserve(p: list[float], tokens: list[int]) -> list[int]:
-    """Undecided units kept back for the landing: the largest, whose rounding costs most, and middle ones to fill in."""
-    undecided = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (tokens[i], i))
-    n, large = len(undecided), RESERVE // 2
-    if n <= RESERVE:
-        return undecided
-    middle = {undecided[int((n - large) * (0.3 + 0.65 * k / (RESERVE - large)))] for k in range(RESERVE - large)}
-    return sorted({*undecided[n - large :], *middle})
+    """Undecided units kept back for the landing: the smallest, which come nearest to any total."""
+    return sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (tokens[i], i))[:RESERVE]
 
 
 def _fly(rows: DataFrame, turn: int, final: bool) -> DataFrame:
@@ -131,15 +129,15 @@ def mix_documents(documents: DataFrame, targets: DataFrame, total_tokens: int |
         most = number.agg(F.max("n")).first()[0] or 0
         if not most:
             break
-        blocks = number.select("source", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        spread = undecided.join(blocks, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("blocks")).cast("int"))
-        final = most <= BLOCK
-        if final:
-            todo = durable(_fly(spread, turn, True))
-            decided.append(todo)
+        # a source that fits in one block waits for the last round, in which all sources land
+        blocks = number.select("source", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(0).cast("int").alias("blocks"))
+        placed = undecided.join(blocks, "source")
+        if most <= BLOCK:
+            decided.append(durable(_fly(placed.withColumn("block", F.lit(0)), turn, True)))
             break
-        # sources that fit in one block wait with their landing for the last round: their flight is done then
-        todo, turn = durable(_fly(spread, turn, False)), turn + 1
+        block = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("blocks")).cast("int")
+        flown = _fly(placed.where("blocks > 0").withColumn("block", block), turn, False)
+        todo, turn = durable(flown.unionByName(placed.where("blocks = 0").drop("blocks"))), turn + 1
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)

@@ -144,3 +144,28 @@ def test_search_goes_on_after_its_first_solution():
     bins, proved = packing.pack(sizes, 100, 2000)
     assert proved and len(bins) == 11 and sorted(i for b in bins for i in b) == list(range(32))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
+
+
+def test_small_sources_land_as_well_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rng = random.Random(8)
+    sizes = {"small": 38, "middle": 90, "large": 1500}
+    rows = [(k * 10_000 + i, " ".join(["word"] * rng.randint(1, 60)), s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("small", 0.2, 8), ("middle", 0.3, 8), ("large", 0.5, 8)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r.actual_share for r in mixing.actual_shares(mixing.mix_documents(docs, targets, total_tokens=3_000), targets).collect()}
+    assert shares["small"] == pytest.approx(0.2, abs=0.002) and shares["middle"] == pytest.approx(0.3, abs=0.002)
+
+
+def test_the_largest_documents_keep_their_probability():
+    sizes = [5, 6, 4, 7, 5, 6, 5, 4, 6, 5, 7, 5, 6, 4, 5, 6, 5, 300, 200, 7, 5, 6, 8, 9]
+    drawn = [0, 0]
+    for seed in range(1500):
+        p = [0.4] * len(sizes)
+        held = mixing.reserve(p, sizes)
+        assert not {17, 18} & set(held)
+        rest = [i for i in range(len(p)) if i not in held]
+        q = dict(zip(rest, mixing.flight([p[i] for i in rest], [sizes[i] for i in rest], seed)))
+        drawn[0] += q[17]
+        drawn[1] += q[18]
+    assert all(x / 1500 == pytest.approx(0.4, abs=0.04) for x in drawn)
