@@ -81,15 +81,34 @@ def p6_groups(spark, sf_dir):
     return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
 
-@query(
-    "p10_found",
-    f"""WITH n AS (SELECT DISTINCT doc_id, text, {lookalike.reference_sql("text")} AS form FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
-)
+def _normal(text: str) -> str:
+    """A normal form for problem 10 in DuckDB's own terms: invisible characters dropped, decomposed letters composed,
+    full-width forms and other spaces made ordinary, letters of other alphabets made Latin, mark by mark.
+    """
+    wide = "(SELECT string_agg(chr((65280 + i)::INTEGER), '' ORDER BY i) || chr(12288) || chr(160) || chr(8199) || chr(8239) FROM range(1, 95) AS u(i))"
+    plain = "(SELECT string_agg(chr((32 + i)::INTEGER), '' ORDER BY i) || '    ' FROM range(1, 95) AS u(i))"
+    other = "'АВЕЅІЈКМНОРСТУХаеіјорсухѕһԁԛԝԚԜёЁїЇΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυάίόύΆΈΉΊΌΎϊϋΪΫՕՏօսհ'"
+    latin = "'ABESIJKMHOPCTYXaeijopcyxshdqwQWëËïÏABEZHIKMNOPTYXayivopuáíóúÁÉHÍÓÝïüÏŸOSouh'"
+    return f"nfc_normalize(translate(translate(nfc_normalize(regexp_replace({text}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')), {wide}, {plain}), {other}, {latin}))"
+
+
+_FORMS = f"n AS (SELECT DISTINCT doc_id, text, {_normal('text')} AS form FROM documents WHERE text IS NOT NULL)"
+
+
+@query("p10_found", f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM n a JOIN n b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text")
 def p10_found(spark, sf_dir):
     return lookalike.same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "p10_groups",
+    f"""WITH {_FORMS}, t AS (SELECT form, text, min(doc_id) AS text_id, count(*) AS copies FROM n GROUP BY ALL), f AS (SELECT form, min(text_id) AS form_id, count(*) AS texts, sum(copies) AS documents FROM t GROUP BY form)
+SELECT n.doc_id, t.text_id, f.form_id, f.texts, (f.documents - t.copies)::BIGINT AS links FROM n JOIN t ON t.text = n.text JOIN f ON f.form = n.form""",
+)
+def p10_groups(spark, sf_dir):
+    return lookalike.same_looking_groups(table(spark, sf_dir, "documents"))
+
+
 @query("p10_forms")
 def p10_forms(spark, sf_dir):
     forms = lookalike.consistent_forms(table(spark, sf_dir, "documents"))

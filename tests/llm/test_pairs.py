@@ -215,9 +215,23 @@ def test_pairs_of_documents(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7), (8, 9)}
     assert {tuple(r) for r in lookalike.same_looking_pairs(frame).collect()} == want
-    monkeypatch.setattr(lookalike, "SPELL_OUT", 1)
-    assert {tuple(r) for r in lookalike.same_looking_pairs(frame).collect()} == {(1, 2), (1, 4), (6, 7), (8, 9)}
-    assert frame.select(F.max("doc_id")).first()[0] == 9
+    monkeypatch.setattr(lookalike, "COPIES", 1)
+    assert {tuple(r) for r in lookalike.same_looking_pairs(frame).collect()} == {(1, 2), (1, 4), (2, 4), (2, 3), (6, 7), (8, 9)}
+    groups = {r.doc_id: tuple(r)[1:] for r in lookalike.same_looking_groups(frame).collect()}
+    assert groups[3] == (1, 1, 3, 2) and groups[4] == (4, 1, 3, 3) and groups[5] == (5, 5, 1, 0) and groups[7] == (7, 6, 2, 1) and len(groups) == 9
+
+
+def test_no_copy_of_many_loses_its_links(spark):
+    frame = spark.createDataFrame([*((i, "a b") for i in range(1000)), (5000, "a\u00a0b"), (5001, "\u0430 b")], "doc_id bigint, text string")
+    got = {tuple(r) for r in lookalike.same_looking_pairs(frame).collect()}
+    assert got == {(i, 5000) for i in range(1000)} | {(0, 5001), (5000, 5001)}
+    groups = {r.doc_id: (r.form_id, r.links) for r in lookalike.same_looking_groups(frame).collect()}
+    assert groups[999] == (0, 2) and groups[5001] == (0, 1001)
+
+
+def test_same_shaped_letters_of_rare_alphabets(spark):
+    frame = spark.createDataFrame([(1, "\u13aa\u13df"), (2, "AC"), (3, "\ua4ee\ua4da"), (4, "\u2c80C")], "doc_id bigint, text string")
+    assert lookalike.same_looking_pairs(frame).count() == 6
 
 
 def test_all_different_texts_of_a_large_form_are_paired(spark, monkeypatch):
