@@ -5,9 +5,9 @@ document of a source is then wanted the same, mostly fractional, number of times
 fraction as an inclusion probability. The flight moves the probabilities through the null space of the
 balancing constraints (number of documents, tokens) until all but a few are 0 or 1; that leaves both totals of
 every block as they were. Large documents are decided first. What is left of all blocks of a source flies on
-together, in ever fewer blocks, and the last few documents, the smallest, land on the choice that comes nearest to
-the totals. Up to there every document's inclusion probability is kept; the landing keeps the totals instead, for
-the at most ``RESERVE`` + 2 smallest undecided documents of a source.
+together, in ever fewer blocks, and the last few documents, of all sizes but the largest, land on the choice that comes nearest
+to the totals. Up to there every document's inclusion probability is kept; the landing keeps the totals instead, for
+at most ``RESERVE`` + 2 documents of a source.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .tokens import VOCABULARY, token_counts
 
 #: Undecided documents that fly together in one task.
 BLOCK = 4_000
-#: Documents of a source, the smallest, that are decided in the landing, besides the two that the flight leaves.
+#: Documents of a source that are decided in the landing, besides the two that the flight leaves.
 RESERVE = 15
 
 
@@ -74,8 +74,10 @@ def landing(p: list[float], tokens: list[int]) -> list[int]:
 
 
 def reserve(p: list[float], tokens: list[int]) -> list[int]:
-    """Undecided units kept back for the landing: the smallest, which come nearest to any total."""
-    return sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (tokens[i], i))[:RESERVE]
+    """Undecided units kept back for the landing: of all sizes but the largest, so that they make up for what flies last."""
+    undecided = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (tokens[i], i))
+    n = len(undecided)
+    return undecided if n <= RESERVE else sorted({undecided[int(n * (0.05 + 0.8 * k / (RESERVE - 1)))] for k in range(RESERVE)})
 
 
 def _fly(rows: DataFrame, turn: int, final: bool) -> DataFrame:
@@ -154,3 +156,17 @@ def actual_shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     joined = targets.join(used, "source", "left").withColumn("whole", whole)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("source", "target_share", "max_repeats", zero("documents"), zero("copies"), zero("most_repeats"), zero("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))
+
+
+def mix_faults(drawn: DataFrame, documents: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """``source, max_repeats, unknown, repeated, beyond_cap, share_met`` per source that has been drawn from."""
+    drawn = durable(drawn)
+    own = documents.select("doc_id", "source").distinct()
+    known = drawn.join(own.withColumn("known", F.lit(True)), ["doc_id", "source"], "left")
+    per_document = known.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("repeats").alias("repeats"), F.max("known").alias("known"))
+    count = lambda c: F.sum(c.cast("bigint"))
+    checked = per_document.join(targets.select("source", "max_repeats"), "source").groupBy("source", "max_repeats").agg(
+        count(F.col("known").isNull()).alias("unknown"), count(F.col("n") > 1).alias("repeated"), count(F.col("repeats") > F.col("max_repeats")).alias("beyond_cap")
+    )
+    shares = actual_shares(drawn, targets).select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= tolerance).alias("share_met"))
+    return checked.join(shares, "source")

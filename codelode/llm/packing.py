@@ -324,3 +324,17 @@ def container_summary(packed: DataFrame) -> DataFrame:
     return total.select(
         "container", "bins", "tokens", room.alias("room"), F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(room / (F.col("bins") * F.col("capacity")), 6).alias("room_share")
     )
+
+
+def packing_faults(packed: DataFrame) -> DataFrame:
+    """``container, capacity, documents, lost_or_repeated, torn, overfull``: 0 but for the first three in any right packing."""
+    packed = durable(packed)
+    pieces = packed.groupBy("container", "capacity", "doc_id").agg(
+        F.count("*").alias("n"), F.count_distinct("piece_no").alias("d"), F.max("piece_no").alias("m"), F.sum("tokens").alias("t"), F.max(F.col("token_from") + F.col("tokens")).alias("e")
+    )
+    lost = (F.col("n") != F.col("d")) | (F.col("n") != F.col("m")) | (F.col("t") != F.col("e"))
+    torn = (F.col("n") > 1) & (F.col("t") <= F.col("capacity"))
+    count = lambda c: F.sum(c.cast("bigint"))
+    documents = pieces.groupBy("container", "capacity").agg(F.count("*").alias("documents"), count(lost).alias("lost_or_repeated"), count(torn).alias("torn"))
+    bins = packed.groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("t"))
+    return documents.join(bins.groupBy("container").agg(count(F.col("t") > F.col("capacity")).alias("overfull")), "container")

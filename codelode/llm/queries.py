@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -64,19 +65,25 @@ def _chunks(spark, sf_dir):
     return table(spark, sf_dir, "code_chunks")
 
 
-@query(
-    "p6_found",
-    """WITH d AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM code_chunks WHERE content IS NOT NULL),
+_SHINGLES = """d AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[a-z0-9_]+') AS w FROM code_chunks WHERE content IS NOT NULL),
 s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 30),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7""",
-)
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+r AS (SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.7)"""
+
+
+@query("p6_found", f"WITH {_SHINGLES} SELECT id_a, id_b FROM r")
 def p6_found(spark, sf_dir):
     return neardup.near_duplicate_pairs(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
 
-@query("p6_groups")
+@query(
+    "p6_groups",
+    f"""WITH RECURSIVE {_SHINGLES}, c AS (SELECT w, min(id) AS class_id FROM d WHERE len(w) >= 30 GROUP BY w), m AS (SELECT d.id, c.class_id FROM d JOIN c ON c.w = d.w),
+l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM r JOIN m x ON x.id = r.id_a JOIN m y ON y.id = r.id_b WHERE x.class_id <> y.class_id), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+g AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT g.a, e.b FROM g JOIN e ON e.a = g.b)
+SELECT m.id, m.class_id, h.group_id, (SELECT count(*) FROM e WHERE e.a = m.class_id) AS links FROM m JOIN (SELECT a, min(b) AS group_id FROM g GROUP BY a) h ON h.a = m.class_id""",
+)
 def p6_groups(spark, sf_dir):
     return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
@@ -145,6 +152,19 @@ def p4_pieces(spark, sf_dir):
     return splitting.split_chunks(_chunks(spark, sf_dir), table(spark, sf_dir, "chunk_limits"))
 
 
+@query("p4_rejoined", "SELECT DISTINCT id, md5(content) AS text, true AS within_limit, start_line, end_line FROM code_chunks JOIN chunk_limits USING (language) WHERE length(content) > max_chars")
+def p4_rejoined(spark, sf_dir):
+    """The pieces of each oversized chunk put together again without their overlaps, and whether all keep the limit."""
+    limits = table(spark, sf_dir, "chunk_limits")
+    pieces = splitting.split_chunks(_chunks(spark, sf_dir), limits).join(limits, "language")
+    before = Window.partitionBy("id").orderBy("piece_no")
+    fresh = F.col("start_char") - F.coalesce(F.lag("end_char").over(before), F.lit(0))  # 0, or minus the overlap
+    new = pieces.select("id", "piece_no", "start_line", "end_line", (F.length("content") <= F.col("max_chars")).alias("fits"), F.substring("content", F.lit(1) - fresh, F.length("content")).alias("new"))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "new")))  # of one chunk
+    whole = new.groupBy("id").agg(parts.alias("p"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min("fits").alias("within_limit"))
+    return whole.select("id", F.md5(F.array_join("p.new", "")).alias("text"), "within_limit", "start_line", "end_line")
+
+
 @query("p4_replaced")
 def p4_replaced(spark, sf_dir):
     slim = _chunks(spark, sf_dir).select("id", "project", "file_path", "language", "content", "start_line", "end_line")
@@ -161,6 +181,15 @@ def p7_rates(spark, sf_dir):
     return syntax.invalid_rates(_chunks(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
 
+@query(
+    "p7_json",
+    """WITH one AS (SELECT DISTINCT id, project, file_path, revision, start_line, coalesce(content, '') AS content FROM code_chunks WHERE language = 'json'), cur AS (SELECT * FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path))
+SELECT project, file_path, json_valid(string_agg(content, chr(10) ORDER BY start_line)) AS valid FROM cur GROUP BY project, file_path""",
+)
+def p7_json(spark, sf_dir):
+    return syntax.repaired_files(_chunks(spark, sf_dir).where("language = 'json'")).select("project", "file_path", (F.col("edits") == 0).alias("valid"))
+
+
 @query("p7_diagnoses")
 def p7_diagnoses(spark, sf_dir):
     return syntax.diagnoses(_chunks(spark, sf_dir)).where("edits > 0")
@@ -176,6 +205,15 @@ def p8_summary(spark, sf_dir):
     return packing.container_summary(p8_packing(spark, sf_dir))
 
 
+@query(
+    "p8_invariants",
+    "SELECT container, capacity_tokens::BIGINT AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0::BIGINT AS lost_or_repeated, 0::BIGINT AS torn, 0::BIGINT AS overfull FROM pack_limits",
+)
+def p8_invariants(spark, sf_dir):
+    """Documents per container kind; those whose pieces do not follow each other, those cut without need, and containers over capacity."""
+    return packing.packing_faults(p8_packing(spark, sf_dir))
+
+
 @query("p9_mix")
 def p9_mix(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -184,3 +222,13 @@ def p9_mix(spark, sf_dir):
 @query("p9_shares")
 def p9_shares(spark, sf_dir):
     return mixing.actual_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@query(
+    "p9_invariants",
+    "SELECT t.source, t.max_repeats, 0::BIGINT AS unknown, 0::BIGINT AS repeated, 0::BIGINT AS beyond_cap, true AS share_met FROM mix_targets t WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0)",
+)
+def p9_invariants(spark, sf_dir):
+    """Per source: drawn documents that are not its own, those drawn in several rows, beyond the cap, and whether the share is met to 0.01."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_faults(p9_mix(spark, sf_dir), documents, targets)

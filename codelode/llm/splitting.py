@@ -40,23 +40,36 @@ _COMMENT = re.compile(r"\s*(?://|#(?!#)|/\*|\*|--|<!--|\"\"\"|''')")
 
 
 class SparseTable:
-    """Range maxima in constant time, the rightmost of equal values."""
+    """Range maxima in constant time, the rightmost of equal values.
 
-    def __init__(self, values: np.ndarray):
+    Only windows of at most ``widest`` values are asked for, from left to right: the table covers a stretch of
+    ``STRETCH`` windows at a time, so that its size does not depend on the number of values.
+    """
+
+    STRETCH = 64
+
+    def __init__(self, values: np.ndarray, widest: int | None = None):
+        self.values, self.widest = values, min(widest or len(values), len(values))
+        self._cover(0)
+
+    def _cover(self, begin: int) -> None:
+        self.begin = begin
+        part = self.values[begin : begin + (self.STRETCH + 1) * self.widest]
         # the place is part of the value, so that the greatest value is the rightmost of the strongest
-        level = values.astype(np.int64) << 40 | np.arange(len(values), dtype=np.int64)
-        self.levels = [level]
-        width = 1
-        while 2 * width <= len(values):
+        level = part.astype(np.int64) << 40 | np.arange(len(part), dtype=np.int64)
+        self.levels, width = [level], 1
+        while 2 * width <= min(self.widest, len(part)):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
 
     def strongest(self, lo: int, hi: int) -> int:
         """The place of the greatest value in ``lo .. hi - 1``."""
+        if not self.begin <= lo or hi > self.begin + len(self.levels[0]):
+            self._cover(lo)
         k = (hi - lo).bit_length() - 1
-        level = self.levels[k]
-        return int(max(level[lo], level[hi - (1 << k)]) & ((1 << 40) - 1))
+        level, lo, hi = self.levels[k], lo - self.begin, hi - self.begin
+        return self.begin + int(max(level[lo], level[hi - (1 << k)]) & ((1 << 40) - 1))
 
 
 def boundary_strengths(text: str, language: str | None) -> np.ndarray:
@@ -118,7 +131,7 @@ def split_text(text: str, limit: int, overlap_lines: int, language: str | None =
     n, limit = len(text), max(1, limit)
     if n <= limit:
         return [(0, n)]
-    table = SparseTable(boundary_strengths(text, language))
+    table = SparseTable(boundary_strengths(text, language), limit + 1)
     newlines = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 10)
     pieces, start, last = [], 0, 0
     while n - start > limit:
@@ -164,7 +177,8 @@ def split_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
                 line_of = np.concatenate(([0], np.cumsum(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 10)))
                 for i, (a, b) in enumerate(pieces):
                     top = (first or 1) + int(line_of[a])
-                    end = (first or 1) + int(line_of[max(a, b - 1)])
+                    # an empty last line belongs to the last piece
+                    end = (first or 1) + int(line_of[b if b == len(text) else max(a, b - 1)])
                     rows.append((key, i + 1, len(pieces), text[a:b], top, end, a, b, language))
                     size += b - a
                 if size > 4_000_000:
