@@ -1,10 +1,15 @@
 """Processing only new or changed records.
 
 A run announces itself in a run history before it works, logs in a ledger what it has processed, and
-counts only if the last row of its history says so. What is due is found by rereading from the oldest
-transaction that was open when the last run succeeded and anti-joining (key, version) pairs against the
+counts only if the last row of its history says so. What is due is found by rereading what has arrived since the
+oldest transaction that was open when the last run succeeded, and anti-joining (key, version) pairs against the
 ledger of successful runs. Nothing is remembered outside these two tables, so a run that dies at any
-point leaves its records due and repeats none that a successful run has taken.
+point leaves its records due and repeats none that a successful run has taken. Its output carries its id and is seen
+only with the row that ends the run: one append makes output and ledger valid together.
+
+Arrival is the modification time of the file that a row lies in (a table is added to in whole files), or a column of
+the caller's; it says nothing of when a record was made, so late records are found. Files from before the horizon are
+left out when the scan is planned.
 
 Every step is a join or an aggregate on keys; no group is collected. The texts of revisions are compared
 by per-line XOR fingerprints, which add up across chunks in any order, so even a file that held most of
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -109,26 +114,71 @@ def text_fingerprints(chunks: DataFrame) -> DataFrame:
     )
 
 
-def due_chunks(chunks: DataFrame, log: DataFrame, runs: DataFrame, trust_created_at: bool = False) -> DataFrame:
+#: The column of ``arriving``; a table may bring one of the same meaning under another name.
+ARRIVED = "_arrived"
+
+
+def arriving(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with ``_arrived``, the modification time of the file of each row.
+
+    A file that seems older than records in it (copied with a time of its own, clocks apart) has no arrival: NULL,
+    and is always read. Only ``created_at`` is read to find such files, of which at most ``DISTRUSTED`` are named in
+    the plan; of more, no file's time is trusted.
+    """
+    rows = spark.read.parquet(path).withColumn(ARRIVED, F.col("_metadata.file_modification_time").cast("timestamp_ntz"))
+    named = rows.withColumn("_file", F.col("_metadata.file_path"))
+    odd = [r[0] for r in named.groupBy("_file", ARRIVED).agg(F.max("created_at").cast("timestamp_ntz").alias("newest")).where(f"newest > {ARRIVED}").select("_file").limit(DISTRUSTED + 1).collect()]
+    if len(odd) > DISTRUSTED:
+        return rows.withColumn(ARRIVED, F.lit(None).cast("timestamp_ntz"))
+    return named.withColumn(ARRIVED, F.when(~F.col("_file").isin(odd), F.col(ARRIVED))).drop("_file") if odd else rows
+
+
+#: Files whose time is not trusted that are named one by one.
+DISTRUSTED = 1_000
+
+
+def reread(chunks: DataFrame, runs: DataFrame, arrived: str = ARRIVED) -> DataFrame:
+    """The rows that have arrived since their project's horizon, or in projects without one, or at no known time.
+
+    The least horizon of all is one value in the plan, which prunes files before any is opened, unless old files hold
+    rows of a project that has no horizon (of the old files that check reads the project alone); the exact horizon is
+    joined by project.
+    """
+    horizon = durable(reread_horizon(runs).select(F.col("project").alias("_p"), F.col("horizon").cast("timestamp_ntz").alias("horizon")))
+    least = horizon.agg(F.min("horizon")).first()[0]
+    names = [r[0] for r in horizon.select("_p").limit(MOST_PROJECTS + 1).collect()]
+    rows = chunks
+    if least is not None and len(names) <= MOST_PROJECTS:
+        known = F.coalesce(F.col("project").isin([n for n in names if n is not None]), F.lit(False))
+        if not chunks.where((F.col(arrived) < F.lit(least)) & ~known).select("project").take(1):
+            rows = rows.where(F.col(arrived).isNull() | (F.col(arrived) >= F.lit(least)))
+    joined = rows.join(horizon, F.col("project").eqNullSafe(F.col("_p")), "left")
+    return joined.where(F.col("horizon").isNull() | F.col(arrived).isNull() | (F.col(arrived) >= F.col("horizon"))).drop("_p", "horizon")
+
+
+#: Projects with a horizon that are named in the plan; beyond them only the join filters.
+MOST_PROJECTS = 1_000
+
+
+def due_chunks(chunks: DataFrame, log: DataFrame, runs: DataFrame, arrived: str | None = None) -> DataFrame:
     """Ids of the chunks of current revisions that no successful run has taken up: ``id``.
 
     * The current revision of a file is its highest ``revision``; a NULL revision is older than any.
     * It is due when the ledger has no entry with its project, path and ``created_at``, unless its whole
       text equals that of an earlier revision of the same path that the ledger has.
-    * ``trust_created_at``: rows never arrive later than the reread horizon, so revisions created before
-      it are not read again (the filter reaches the scan where all projects have a horizon). Left off
-      where rows may come late, as nothing in a late row tells that it is late; the ledger alone then
-      decides.
+    * ``arrived``: the column that tells when a row arrived (see ``arriving``). Only files of which a row has arrived
+      since the horizon are looked at, with all their revisions. Without it every file is.
 
     NULLs in key columns are compared as equal to each other; rows without ``id`` cannot be taken up and
     give nothing; repeated rows of an id give it once; empty tables give no rows, an empty log makes all
     current chunks due. Other columns of the inputs are not read, so their names do not matter.
     """
     slim = chunks.select("id", *REVISION).where("id IS NOT NULL")
-    if trust_created_at:
-        horizon = reread_horizon(runs).select("project", "horizon")
-        slim = slim.join(horizon, "project", "left").where("horizon IS NULL OR created_at >= horizon").drop("horizon")
-    revisions = durable(slim.select(*REVISION).distinct())  # read four times below, and small beside the chunks
+    revisions = slim.select(*REVISION).distinct()
+    if arrived is not None:
+        touched = durable(reread(chunks.select("id", *KEY, arrived).where("id IS NOT NULL"), runs, arrived).select(*KEY).distinct())
+        revisions = _having(revisions, touched, KEY)
+    revisions = durable(revisions)  # read four times below, and small beside the chunks
     current = (
         revisions.groupBy(*KEY)
         .agg(F.max(F.struct("revision", "created_at")).alias("top"))
@@ -155,9 +205,9 @@ def due_chunks(chunks: DataFrame, log: DataFrame, runs: DataFrame, trust_created
     return _having(slim, due, REVISION).select("id").distinct()
 
 
-def due_revisions(chunks: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
+def due_revisions(chunks: DataFrame, log: DataFrame, runs: DataFrame, arrived: str | None = None) -> DataFrame:
     """The due chunks by revision, in the ledger's form: ``project, file_path, file_created_at, chunk_count``."""
-    due = due_chunks(chunks, log, runs)
+    due = due_chunks(chunks, log, runs, arrived)
     return (
         chunks.join(due, "id", "left_semi")
         .groupBy(*KEY, F.col("created_at").alias("file_created_at"))
@@ -168,14 +218,15 @@ def due_revisions(chunks: DataFrame, log: DataFrame, runs: DataFrame) -> DataFra
 class IncrementalRun:
     """One run over tables kept as folders of Parquet files: take what is due, work, then commit.
 
-    The order is what makes failures harmless: ``running`` is written first; the ledger rows are written
-    when the work is done; ``succeeded`` comes last. A run that dies before that leaves rows which no
-    successful run owns, so the next run takes its records again; one that committed is never repeated.
+    The order is what makes failures harmless: ``running`` is written first, then the output, then the ledger rows,
+    and ``succeeded`` last. A run that dies before that leaves rows which no successful run owns, in the ledger as in
+    the output, so the next run takes its records again; one that committed is never repeated. Outputs are read with
+    ``committed_output``.
     """
 
-    def __init__(self, chunks: DataFrame, log_path: str, runs_path: str, run_id: int, project: str | None = None):
-        self.spark, self.chunks = chunks.sparkSession, chunks
-        self.log_path, self.runs_path, self.run_id, self.project = log_path, runs_path, run_id, project
+    def __init__(self, chunks: DataFrame, log_path: str, runs_path: str, run_id: int, project: str | None = None, output_path: str | None = None, arrived: str | None = None):
+        self.spark, self.chunks, self.arrived = chunks.sparkSession, chunks, arrived
+        self.log_path, self.runs_path, self.run_id, self.project, self.output_path = log_path, runs_path, run_id, project, output_path
 
     def _mark(self, status: str) -> None:
         kind = {f.name: f.dataType for f in self.spark.read.parquet(self.runs_path).schema}
@@ -187,19 +238,30 @@ class IncrementalRun:
         )
         row.write.mode("append").parquet(self.runs_path)
 
-    def execute(self, work: Callable[[DataFrame], None]) -> int:
-        """Calls ``work`` with the due chunks; returns the number of revisions logged."""
+    def execute(self, work: Callable[[DataFrame], DataFrame | None]) -> int:
+        """Calls ``work`` with the due chunks and keeps what it gives as the run's output; returns the number of revisions logged.
+
+        ``work`` must write nothing itself, or only what may be written twice.
+        """
         self._mark("running")
         log, runs = self.spark.read.parquet(self.log_path), self.spark.read.parquet(self.runs_path)
-        taken = due_revisions(self.chunks, log, runs)
+        taken = due_revisions(self.chunks, log, runs, self.arrived)
         if self.project is not None:
             taken = taken.where(F.col("project") == self.project)
         taken = durable(taken)  # what is logged is what was handed out, whatever arrives meanwhile
         kind = {f.name: f.dataType for f in log.schema}
         keys = taken.select(*KEY, F.col("file_created_at").alias("created_at"))
-        work(_having(self.chunks, keys, [*KEY, "created_at"]))
+        output = work(_having(self.chunks, keys, [*KEY, "created_at"]))
+        if output is not None and self.output_path is not None:
+            output.withColumn("run_id", F.lit(self.run_id).cast("bigint")).write.mode("append").parquet(self.output_path)
         entry = taken.select(F.lit(self.run_id).cast(kind["run_id"]).alias("run_id"), "project", "file_path", "file_created_at", "chunk_count")
         entry.withColumn("logged_at", F.current_timestamp().cast(kind["logged_at"])).write.mode("append").parquet(self.log_path)
         n = taken.count()
         self._mark("succeeded")
         return n
+
+
+def committed_output(spark: SparkSession, output_path: str, runs: DataFrame) -> DataFrame:
+    """The output rows of successful runs: each due record's exactly once."""
+    succeeded = run_states(runs).where("status = 'succeeded'").select(F.col("run_id").cast("bigint").alias("run_id"))
+    return spark.read.parquet(output_path).join(succeeded, "run_id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import incremental
+from ..session import ship_package
 from ..sources.tables import spread, table, take_once
 
 QUERIES: dict = {}
@@ -41,7 +42,9 @@ due AS (SELECT project, file_path, revision FROM cur c
 SELECT DISTINCT o.id FROM one o JOIN due d ON o.project = d.project AND o.file_path = d.file_path AND o.revision = d.revision""",
 )
 def p1_found(spark, sf_dir):
-    return incremental.due_chunks(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "index_log"), table(spark, sf_dir, "index_metadata"))
+    ship_package(spark)
+    chunks = incremental.arriving(spark, f"{sf_dir}/code_chunks.parquet")
+    return incremental.due_chunks(chunks, table(spark, sf_dir, "index_log"), table(spark, sf_dir, "index_metadata"), incremental.ARRIVED)
 
 
 @query(

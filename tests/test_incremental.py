@@ -52,8 +52,6 @@ def test_nulls_and_late_rows(spark):
     chunks = [chunk(1, None, 1, "x", 1), chunk(2, "a", None, None, 1), chunk(None, "b", 1, "x", 1), (5, "p", "d", 1, "x", 1, 1, None, None)]
     assert due(spark, chunks, [], GOOD) == [1, 2, 5]
     assert due(spark, [chunk(1, "a", 1, "late", 0)], [], GOOD) == [1]
-    assert due(spark, [chunk(1, "a", 1, "late", 0)], [], GOOD, trust_created_at=True) == []
-    assert due(spark, [chunk(1, "a", 1, "x", 30)], [], GOOD, trust_created_at=True) == [1]
 
 
 def test_states_and_horizon(spark):
@@ -86,3 +84,46 @@ def test_failures_neither_skip_nor_repeat(spark, tmp_path):
     more = chunks.union(spark.createDataFrame([chunk(20, "f1", 3, "new", 9), chunk(21, "late", 1, "z", 0)], CHUNKS))
     assert IncrementalRun(more, log, runs, 4).execute(take) == 2
     assert seen == [[4, 5, 6, 7], [], [20, 21]]
+
+
+def test_only_files_that_arrived_since_the_horizon_are_read(spark, tmp_path):
+    import os
+
+    from codelode.operators.incremental import arriving
+
+    path, stamp = str(tmp_path / "chunks"), lambda hours: (at(hours) - dt.datetime(1970, 1, 1)).total_seconds()
+    parts = [([chunk(1, "old", 1, "x", 1), chunk(9, "b", 2, "y", 2)], 5), ([chunk(2, "late", 1, "x", 0), chunk(3, "b", 1, "y", 1), chunk(4, "old", 2, "z", 3)], 12), ([chunk(5, "copied", 1, "x", 30)], 6)]
+    for rows, arrived in parts:
+        before = set(os.listdir(path)) if os.path.isdir(path) else set()
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").parquet(path)
+        for name in set(os.listdir(path)) - before:
+            os.utime(f"{path}/{name}", (stamp(arrived), stamp(arrived)))
+    chunks = arriving(spark, path)
+    log, runs = spark.createDataFrame([], LOG), spark.createDataFrame(GOOD, RUNS)
+    # file b has an old current revision that came before the horizon, and a late older one: all its revisions are looked at
+    assert sorted(r.id for r in due_chunks(chunks, log, runs, "_arrived").collect()) == [2, 4, 5, 9]
+    early = spark.createDataFrame([(1, "p", at(30), "running"), (1, "p", at(31), "succeeded")], RUNS)
+    assert sorted(r.id for r in due_chunks(chunks, log, early, "_arrived").collect()) == [5]
+    assert sorted(r.id for r in due_chunks(chunks, log, early).collect()) == [2, 4, 5, 9]
+    from codelode.operators.incremental import reread
+
+    narrow = reread(chunks.where("_arrived IS NOT NULL"), runs).select("id")
+    assert sorted(r.id for r in narrow.collect()) == [2, 3, 4]
+
+
+def test_output_and_ledger_become_valid_together(spark, tmp_path, monkeypatch):
+    from codelode.operators.incremental import committed_output
+
+    chunks = spark.createDataFrame([chunk(i, f"f{i}", 1, f"t{i}", 1) for i in range(6)], CHUNKS)
+    log, runs, out = (str(tmp_path / n) for n in ("log", "runs", "out"))
+    spark.createDataFrame([], LOG).write.parquet(log)
+    spark.createDataFrame([], RUNS).write.parquet(runs)
+    one = IncrementalRun(chunks, log, runs, 1, output_path=out)
+    mark = one._mark
+    monkeypatch.setattr(one, "_mark", lambda status: mark(status) if status == "running" else (_ for _ in ()).throw(RuntimeError("lost before the end")))
+    with pytest.raises(RuntimeError):
+        one.execute(lambda df: df.select("id"))
+    assert committed_output(spark, out, spark.read.parquet(runs)).count() == 0 and spark.read.parquet(out).count() == 6
+    assert IncrementalRun(chunks, log, runs, 2, output_path=out).execute(lambda df: df.select("id")) == 6
+    assert IncrementalRun(chunks, log, runs, 3, output_path=out).execute(lambda df: df.select("id")) == 0
+    assert sorted(r.id for r in committed_output(spark, out, spark.read.parquet(runs)).collect()) == list(range(6))
