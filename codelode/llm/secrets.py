@@ -1,11 +1,12 @@
 """Credentials embedded in source code: find the literals, redact only their contents.
 
 Chunks that hold no credential word, URL with a user, private key, token of a known shape or joined literals are
-passed over by a pattern in the JVM, which lets through all that the detectors can find. The others are tokenised line by line: comments, string literals of every quoting
-style, names and operators. A literal is a secret when a credential-named identifier (or key, argument,
-comment label) is assigned it or passed with it and it is no placeholder, reference, prose, digest or public
-key; and wherever it lies, when it is a password in a URL, a coded user:password pair, a bearer token, a
-private key or a token of a provider's shape. Redaction replaces the characters between the delimiters,
+passed over by a pattern in the JVM, which lets through all that the detectors can find. The others are tokenised as
+a whole (comments, string literals of every quoting style over line ends, names, brackets), which gives the arguments
+of calls and literals in triple quotes; what is assigned, keyed or labelled is read off the lines. A literal is a
+secret when a credential-named identifier (or key, argument, comment label) is assigned it, called with it or passed
+with it and it is no placeholder, reference, prose, digest or public key; and wherever it lies, when it is a password
+in a URL, a coded user:password pair, a bearer token, a private key or a token of a provider's shape. Redaction replaces the characters between the delimiters,
 escape sequences as units, and nothing else.
 """
 
@@ -45,6 +46,9 @@ _REFERENCE = re.compile(r"^(?:vault|env|ssm|secret|secrets|arn|gcp|aws|azure|key
 _PASSWORD = re.compile(r"(?:^|[_.\-$@/]|(?<=[a-z0-9])(?=[A-Z]))(?:passw(?:or)?d|passwrd|passphrase|passcode|contrasena)(?:[_\-.]?(?:value|plain|literal|default|old|new|prod|staging|dev|test))?(?:[_\-.]?v?\d+)?$", re.I)
 #: What a plain word given to a password name may be instead: the label or the name of a field, a type, a kind.
 _KIND = re.compile(r"passw|passphrase|passcode|pwd|secret|token|credential|contrase|^(?:text|varchar|char|str|bytes|bool|basic|field|prompt|vault|env)$", re.I)
+#: Several plain words given to a password name, and words that make them prose.
+_PASSPHRASE = re.compile(r"[a-z]{3,}(?:[ ][a-z]{3,}){2,7}")
+_PROSE = {"the", "your", "you", "for", "and", "not", "must", "please", "enter", "this", "that", "with", "from", "have", "has", "are", "was", "can", "will", "may", "should", "invalid", "missing", "required", "new", "old", "una", "por", "favor", "para", "los", "las", "del", "debe", "ser"}
 _UUID = re.compile(r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$", re.I)
 _HEX = re.compile(r"^(?:sha\d+[:\-])?[0-9a-f]{7,}$", re.I)
 #: Shapes of well-known tokens.
@@ -124,6 +128,8 @@ def is_secret(value: str, named: bool = True, sure: bool = False) -> bool:
     literals count too.
     """
     v = value.strip()
+    if sure and " " in v:
+        return bool(_PASSPHRASE.fullmatch(v)) and not _PROSE.intersection(v.split()) and not _KIND.search(v)
     if not v or (len(v) < 6 and not sure) or any(c.isspace() for c in v):
         return False
     if _PLACEHOLDER.match(v) or _REFERENCE.match(v) or _UUID.match(v) or "PUBLIC KEY" in v:
@@ -165,6 +171,60 @@ def _basic(code: str) -> bool:
     return bool(colon and user and word) and not _PLACEHOLDER.match(word)
 
 
+#: How comments look in the languages, and string literals of every quoting style.
+_COMMENTS = {k: r"\#[^\n]*" for k in ("python", "shell", "yaml", "toml", "dockerfile", "properties", "ini")} | {"sql": r"--[^\n]*|/\*[\s\S]*?\*/"}
+_TOKENS = (
+    r"|(?P<triple>\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\')|(?P<string>\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`)"
+    r"|(?P<call>[A-Za-z_$][\w$]*[ \t]*\()|(?P<pair>\b[A-Za-z_$][\w$]*[ \t]*=[ \t]*\()|[A-Za-z_$][\w$]*|(?P<open>[(\[{])|(?P<close>[)\]}])"
+)
+_lexers: dict[str, re.Pattern] = {}
+#: First words of functions that look for, check or change a credential instead of being given one.
+_ASKS = {
+    "get", "has", "is", "validate", "check", "hash", "verify", "parse", "find", "load", "read", "fetch", "generate", "create", "make", "delete", "remove", "revoke", "refresh", "decode", "encode", "encrypt", "decrypt", "reset",
+    "require", "log", "print", "mask", "redact", "prompt", "ask", "show", "hide", "render", "compare", "match", "test", "count", "split", "next", "expect", "assert", "cancel", "rotate", "sign", "build", "derive", "lookup", "resolve", "format", "def", "func", "function",
+}
+
+
+def lex(content: str, language: str) -> Iterator[re.Match]:
+    """The tokens of a text by kind; comments are left out."""
+    if language not in _lexers:
+        _lexers[language] = re.compile(r"(?P<comment>" + _COMMENTS.get(language, r"//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->") + ")" + _TOKENS)
+    return (m for m in _lexers[language].finditer(content) if m.lastgroup != "comment")
+
+
+def _given(content: str, language: str) -> Iterator[tuple[int, int]]:
+    """Places of secrets that are arguments of credential-named calls (or pairs), and of those in triple quotes."""
+    calls: list[tuple[str, list]] = []  # open brackets: the credential name before one, its literals so far
+    for m in lex(content, language):
+        kind = m.lastgroup
+        if kind in ("call", "pair", "open"):
+            name = m.group()[:-1].rstrip(" \t=") if kind != "open" else ""
+            if name and (_SPLIT.split(name)[0].lower() in _ASKS or not is_credential_name(name)):
+                name = ""
+            calls.append((name, []))
+        elif kind == "close" and calls:
+            name, literals = calls.pop()
+            if name and literals:
+                m, others = literals[-1], len(literals) > 1
+                a, b = m.start() + 1, m.end() - 1
+                value = content[a:b]
+                sure = is_password_name(name)
+                pair = re.search(r"auth$|credentials?$", name, re.I)
+                strong = bool(re.search(r"\d", value)) and len(value) >= 8
+                if is_secret(value) and (strong or sure) and (others or not pair) and not _URL.search(value):
+                    yield a, b
+        elif kind in ("string", "triple"):
+            if kind == "string":
+                if calls and calls[-1][0]:
+                    calls[-1][1].append(m)
+                continue
+            value = content[m.start() + 3 : m.end() - 3]
+            before = _BEFORE.search(content[max(0, m.start() - 200) : m.start()])
+            if before and before.group(2) not in ("==", "!=", ",") and is_credential_name(before.group(1)) and is_secret(value, sure=is_password_name(before.group(1))):
+                a = m.start() + 3 + len(value) - len(value.lstrip())
+                yield a, a + len(value.strip())
+
+
 def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int, str]]:
     """``line offset, start, end, kind`` of every secret; start and end are places in ``content``.
 
@@ -328,6 +388,9 @@ def find_secrets(content: str, language: str | None) -> list[tuple[int, int, int
                 sure = m.group()[len(m.group(1)) :].lstrip()[:1] in ":=-" or re.search(r"\d", word) or _scrambled(word)
                 if sure and is_secret(word) and not _URL.search(word):
                     add(i, shift + m.start(2), shift + m.start(2) + len(word), "comment")
+    for a, b in _given(content, language):
+        i = bisect_right(starts, a) - 1
+        add(i, a - starts[i], b - starts[i], "literal")
     return sorted((i, a, b, kind) for (a, b), (i, kind) in found.items())
 
 

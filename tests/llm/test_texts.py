@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -108,7 +109,7 @@ def test_split_chunks(spark):
     frame = spark.createDataFrame(rows, CHUNKS)
     got = splitting.split_chunks(frame, limits).orderBy("id", "piece_no").collect()
     assert sorted(r.id for r in splitting.oversized_ids(frame, limits).collect()) == [2, 3]
-    assert [(r.id, r.piece_no, r.pieces, r.content, r.start_line, r.end_line) for r in got if r.id == 2] == [(2, 1, 2, "line one\nline two\n", 11, 12), (2, 2, 2, "line two\nline three\n", 12, 13)]
+    assert [(r.id, r.piece_no, r.pieces, r.content, r.start_line, r.end_line) for r in got if r.id == 2] == [(2, 1, 2, "line one\nline two\n", 11, 12), (2, 2, 2, "line two\nline three\n", 12, 14)]
     assert "".join(r.content for r in got if r.id == 3) == "é" * 6
     assert splitting.split_chunks(frame.limit(0), limits).count() == 0
     whole = splitting.replace_oversized(frame.withColumn("max_chars", frame.id).withColumn("piece_no", frame.id), limits).collect()
@@ -311,3 +312,19 @@ def test_files_are_put_together_and_judged(spark):
     rates = {r.language: (r.files, r.invalid, r.rate) for r in syntax.invalid_rates(frame).collect()}
     assert rates == {"go": (2, 1, 0.5), "json": (1, 1, 1.0), "python": (1, 0, 0.0)}
     assert syntax.invalid_files(frame.limit(0)).count() == 0
+
+
+def test_arguments_and_literals_over_lines_are_found():
+    cases = {
+        ("go", 'setPassword("Tr0ub4dor&3")'): "Tr0ub4dor&3", ("python", 'conn.passwd("Tr0ub4dor&3")'): "Tr0ub4dor&3", ("java", 'b.withApiKey("Zx81kQp0aLm3")'): "Zx81kQp0aLm3",
+        ("python", 'passphrase = "correct horse battery staple"'): "correct horse battery staple", ("python", 'password = """Tr0ub4dor&3"""'): "Tr0ub4dor&3",
+        ("python", "password = '''\nTr0ub4dor&3\n'''"): "Tr0ub4dor&3", ("go", 'db.SetToken("prod", "Zx81kQp0aLm3")'): "Zx81kQp0aLm3", ("javascript", 'c.auth("user", "Tr0ub4dor&3")'): "Tr0ub4dor&3",
+        ("python", 'get(u, auth=("bob", "Tr0ub4dor&3"))'): "Tr0ub4dor&3", ("java", 'setPassword(\n    "Tr0ub4dor&3"\n)'): "Tr0ub4dor&3", ("javascript", "x(); /* a */ setSecret('a\\'b9Xk2Qp')"): "a\\'b9Xk2Qp",
+    }
+    for (language, code), secret in cases.items():
+        spans = secrets.find_secrets(code, language)
+        assert [code[a:b] for _, a, b, _ in spans] == [secret], code
+        assert re.search(secrets.CANDIDATE, code)
+        assert secrets.redact(code, spans) == code.replace(secret, secrets.MASK)
+    none = ['getPassword("db.main1")', 'setPassword(env.get("DB_PASSWORD"))', 'validateToken("invalid token 1")', 'hashPassword("Tr0ub4dor&3")', 'password_label = "enter your password"', '# setPassword("Tr0ub4dor&3")', 'auth("Tr0ub4dor&3x")', "setToken(token)", 'setPassword("<your password>")']
+    assert [c for c in none if secrets.find_secrets(c, "python")] == []
