@@ -2,14 +2,17 @@
 
 Per chunk the JVM counts lines, longest line, white space, letters and digits, numeric literals and long
 encoded runs; the counts of a file are sums and maxima of those of its chunks, so only a few numbers per
-chunk are shuffled and a file may be of any length. Thresholds per language on white space and mean line tell
-minified files, those on digits, encoded runs and numeric literals data in source form; the place of a file and
-its own header statement tell generated and vendored ones. Longest line and share of letters and digits are
-given but decide nothing: one long line makes no case, and the shares of all kinds overlap.
+chunk are shuffled and a file may be of any length. The first judge is layout, by thresholds per language
+(``Layout``): little white space in long lines, on the mean or in one line that is all but the whole file, is
+minified; many digits, numeric literals, or encoded runs of mostly letters and digits are data. What the layout does
+not tell, as such files are laid out like hand-written ones, place, name and the file's own statement tell: files of
+other projects and of generators. ``told_by`` says which judge spoke.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ VENDOR_FOLDERS = ["vendor", "_vendor", "node_modules", "bower_components", "thir
 #: Names that generators and bundlers give to files.
 GENERATED_NAME = r"(_pb2(_grpc)?\.pyi?|\.pb(\.gw)?\.(go|cc|h|rb)|\.(generated|gen|g|designer)\.\w+|_generated\.\w+|_gen\.go|/zz_generated[^/]*)$"
 MINIFIED_NAME = r"(\.min\.\w+|[.-]bundle(\.[0-9a-f]+)?\.(js|css|mjs))$"
-#: A file's statement about itself is a comment line among its first ``HEADER_LINES`` or last ``FOOTER_LINES`` lines.
+#: A file's statement about itself is a comment line among its first ``HEADER_LINES`` lines, in the comments it begins
+#: with, however many, or among its last ``FOOTER_LINES`` lines.
 HEADER_LINES, FOOTER_LINES = 20, 3
+CODE_LINE = r"^[ \t]*[^ \t/#*;%<\"'!-]"
 _MARK = r"""^[ \t]*(?://+|#+|--+|/?\*+|<!--|;+|%+|"{3}|'{3})?!?[ \t]*"""
 _MADE = r"(?:generated|produced|emitted|compiled|transpiled|machine-made)"
 _TOOL = r"(?:auto(?:matically)?|machine|tool|computer|script|compiler)"
@@ -57,28 +62,44 @@ VENDORED_STATEMENT = _MARK + "(?:" + "|".join(
 #: Lines with these are templates of statements or deny what they mention.
 NO_STATEMENT = r"(?i)%[sdvq]\b|\{\{|\$\{|\{\w*\}|<%|\bunlike\b|\bhand-?written\b|(?:kept|written|maintained|made|edited) by hand\b|\bnot (?:auto-?)?(?:generated|vendored|copied)\b|hecho a mano"
 
-#: language -> white space share below and mean line length above which a file is minified, share of digits
-#: above which it is data, share of long encoded runs above which it is data, least characters for either, numeric
-#: literals a character above which it is data (padded tables of short numbers, with few digits for their length).
+
+
+class Layout(NamedTuple):
+    """A file of ``chars`` or more is minified below ``space`` (share of white space) if the mean line is longer than
+    ``mean``, or the longest one than ``LONGEST`` and ``LONGEST_SHARE`` of the file; it is data above ``digits`` (share),
+    ``numbers`` (literals a character) or ``encoded`` (share of long encoded runs, with ``ENCODED_ALNUM`` of letters and digits).
+    """
+
+    space: float = 0.05
+    mean: float = 200.0
+    digits: float = 0.25
+    encoded: float = 0.5
+    chars: int = 300
+    numbers: float = 0.06
+
+
+LONGEST, LONGEST_SHARE, ENCODED_ALNUM = 500, 0.9, 0.6
+_SETTINGS = Layout(space=0.02, mean=400.0, digits=0.45, encoded=0.8, numbers=0.1)
+#: By language; the others have the defaults. Settings and prose hold digests and keys beside little text.
 THRESHOLDS = {
-    "": (0.05, 200.0, 0.25, 0.5, 300, 0.06),
-    "javascript": (0.07, 100.0, 0.25, 0.5, 300, 0.06),
-    "typescript": (0.07, 100.0, 0.25, 0.5, 300, 0.06),
-    "css": (0.08, 100.0, 0.30, 0.5, 300, 0.1),
-    "json": (0.02, 400.0, 0.35, 0.5, 300, 0.1),
-    "properties": (0.01, 400.0, 0.40, 0.8, 300, 0.1),  # settings hold digests and keys beside little text
-    "yaml": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
-    "toml": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
-    "dockerfile": (0.02, 400.0, 0.45, 0.8, 300, 0.1),
-    "markdown": (0.02, 400.0, 0.40, 0.8, 300, 0.1),
+    "": Layout(),
+    "javascript": Layout(space=0.07, mean=100.0),
+    "typescript": Layout(space=0.07, mean=100.0),
+    "css": Layout(space=0.08, mean=100.0, digits=0.30, numbers=0.1),
+    "json": Layout(space=0.02, mean=400.0, digits=0.35, numbers=0.1),
+    "properties": _SETTINGS._replace(space=0.01, digits=0.40),
+    "yaml": _SETTINGS,
+    "toml": _SETTINGS,
+    "dockerfile": _SETTINGS,
+    "markdown": _SETTINGS._replace(digits=0.40),
 }
 ENCODED_RUN = r"[A-Za-z0-9+/=]{40,}"
 NUMBER = r"\b[0-9][0-9A-Fa-fxX._]*\b"
 
 
-def _threshold(i: int) -> Column:
-    pairs = [x for language, row in THRESHOLDS.items() if language for x in (F.lit(language), F.lit(row[i]))]
-    return F.coalesce(F.create_map(*pairs)[F.coalesce(F.col("language"), F.lit(""))], F.lit(THRESHOLDS[""][i]))
+def _threshold(name: str) -> Column:
+    pairs = [x for language, row in THRESHOLDS.items() if language for x in (F.lit(language), F.lit(getattr(row, name)))]
+    return F.coalesce(F.create_map(*pairs)[F.coalesce(F.col("language"), F.lit(""))], F.lit(getattr(THRESHOLDS[""], name)))
 
 
 def layout_statistics(chunks: DataFrame) -> DataFrame:
@@ -90,7 +111,11 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     lines = F.split(text, "\n", -1)
     first = F.coalesce("start_line", F.lit(1))
-    head = F.slice(lines, 1, F.greatest(F.lit(HEADER_LINES + 1) - first, F.lit(0)))
+    opening = F.when(first == 1, F.slice(lines, HEADER_LINES + 1, F.greatest(F.size(lines), F.lit(1))))
+    code = F.array_position(F.transform(opening, lambda x: x.rlike(CODE_LINE)), True)  # 0: comments to the chunk's end
+    begin = F.array_position(F.transform(F.slice(lines, 1, HEADER_LINES), lambda x: x.rlike(CODE_LINE)), True)
+    more = F.when((first == 1) & (begin == 0), F.when(code > 0, code - 1).otherwise(F.size(opening))).otherwise(0)
+    head = F.slice(lines, 1, (F.greatest(F.lit(HEADER_LINES + 1) - first, F.lit(0)) + more).cast("int"))
     tail = F.slice(lines, -F.least(F.size(lines), F.lit(FOOTER_LINES)), FOOTER_LINES)
     says = lambda part, pattern: F.exists(part, lambda x: x.rlike("(?i)" + pattern) & ~x.rlike(NO_STATEMENT)).cast("int")
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
@@ -130,24 +155,31 @@ def layout_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def classify_files(chunks: DataFrame) -> DataFrame:
-    """``project, file_path, language, kind`` with ``kind`` ``vendored``, ``generated``, ``minified``, ``data`` or ``hand-written``.
+    """``project, file_path, language, kind, told_by``: ``minified`` or ``data`` (by ``layout``), ``vendored`` or ``generated``
+    (by ``place``, which is folder or name, or by ``statement``), ``minified`` by its name, or ``hand-written`` (by nothing).
 
     The first that holds, in this order. A single long line, or words about generated code that are no
     statement at a file's start or end, make no file anything but hand-written.
     """
     path = F.concat(F.lit("/"), F.col("file_path"))
     inside = path.rlike("/(" + "|".join(VENDOR_FOLDERS) + ")/")
-    long_enough = F.col("chars") >= _threshold(4)
-    minified = long_enough & (F.col("space_share") < _threshold(0)) & (F.col("mean_line") > _threshold(1))
-    data = long_enough & ((F.col("digit_share") > _threshold(2)) | (F.col("encoded_share") > _threshold(3)) | (F.col("number_density") > _threshold(5)))
-    kind = (
-        F.when(inside | (F.col("vendored") > 0), "vendored")
-        .when((F.col("generated") > 0) | path.rlike(GENERATED_NAME), "generated")
-        .when(path.rlike(MINIFIED_NAME) | minified, "minified")
-        .when(data, "data")
-        .otherwise("hand-written")
+    long_enough = F.col("chars") >= _threshold("chars")
+    one_line = (F.col("longest") > LONGEST) & (F.col("longest") >= F.col("chars") * LONGEST_SHARE)
+    minified = long_enough & (F.col("space_share") < _threshold("space")) & ((F.col("mean_line") > _threshold("mean")) | one_line)
+    encoded = (F.col("encoded_share") > _threshold("encoded")) & (F.col("alnum_share") > ENCODED_ALNUM)
+    data = long_enough & ((F.col("digit_share") > _threshold("digits")) | (F.col("number_density") > _threshold("numbers")) | encoded)
+    told = lambda kind, by: F.struct(F.lit(kind).alias("kind"), F.lit(by).alias("told_by"))
+    verdict = (
+        F.when(minified, told("minified", "layout"))
+        .when(data, told("data", "layout"))
+        .when(inside, told("vendored", "place"))
+        .when(F.col("vendored") > 0, told("vendored", "statement"))
+        .when(path.rlike(GENERATED_NAME), told("generated", "place"))
+        .when(F.col("generated") > 0, told("generated", "statement"))
+        .when(path.rlike(MINIFIED_NAME), told("minified", "place"))
+        .otherwise(told("hand-written", None))
     )
-    return layout_statistics(chunks).select("project", "file_path", "language", kind.alias("kind"))
+    return layout_statistics(chunks).select("project", "file_path", "language", verdict.alias("v")).select("project", "file_path", "language", "v.kind", "v.told_by")
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
@@ -159,34 +191,3 @@ def handwritten_chunks(chunks: DataFrame) -> DataFrame:
     """The chunk rows, columns unchanged, of files that are hand-written."""
     kept = classify_files(chunks).where("kind = 'hand-written'").select("project", "file_path")
     return chunks.join(kept, chunks["project"].eqNullSafe(kept["project"]) & (chunks["file_path"] == kept["file_path"]), "left_semi")
-
-
-def reference_sql() -> str:
-    """The same classification as SQL for DuckDB."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-
-    def case(i: int) -> str:
-        return "CASE language " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in THRESHOLDS.items() if k) + f" ELSE {THRESHOLDS[''][i]} END"
-
-    less = lambda chars: f"length(t) - length(translate(t, {chars}, ''))"
-    letters = "'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'"
-    split = "string_split(t, chr(10))"
-    parts = f"[list_slice({split}, 1, greatest({HEADER_LINES} + 1 - start_line, 0)), CASE WHEN start_line = max(start_line) OVER (PARTITION BY project, file_path) THEN {split}[-{FOOTER_LINES}:] ELSE [] END]"
-
-    def says(pattern: str) -> str:
-        return f"max((len(list_filter(said, lambda x: regexp_matches(x, {quote('(?i)' + pattern)}) AND NOT regexp_matches(x, {quote(NO_STATEMENT)}))) > 0)::INT)"
-
-    return f"""WITH one AS (SELECT DISTINCT id, project, file_path, revision, start_line, language, coalesce(content, '') AS t FROM code_chunks WHERE file_path IS NOT NULL),
-cur AS (SELECT * FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path)),
-top AS (SELECT *, flatten({parts}) AS said FROM cur),
-f AS (SELECT project, file_path, max(language) AS language, sum(length(t)) AS chars, sum(len(string_split(t, chr(10)))) AS lines,
- sum({less("' ' || chr(9) || chr(13) || chr(10)")}) AS space, sum({less("'0123456789'")}) AS digits, sum({less(letters)}) AS letters,
- sum(len(regexp_extract_all(t, {quote(NUMBER)}))) AS numbers, sum(length(t) - length(regexp_replace(t, {quote(ENCODED_RUN)}, '', 'g'))) AS encoded,
- {says(GENERATED_STATEMENT)} AS generated, {says(VENDORED_STATEMENT)} AS vendored
- FROM top GROUP BY ALL),
-k AS (SELECT file_path, project, language, CASE
- WHEN regexp_matches('/' || file_path, '/({"|".join(VENDOR_FOLDERS)})/') OR vendored > 0 THEN 'vendored'
- WHEN generated > 0 OR regexp_matches('/' || file_path, {quote(GENERATED_NAME)}) THEN 'generated'
- WHEN regexp_matches('/' || file_path, {quote(MINIFIED_NAME)}) OR (chars >= {case(4)} AND space / greatest(chars, 1) < {case(0)} AND chars / greatest(lines, 1) > {case(1)}) THEN 'minified'
- WHEN chars >= {case(4)} AND (digits / greatest(chars, 1) > {case(2)} OR encoded / greatest(chars, 1) > {case(3)}) THEN 'data'
- ELSE 'hand-written' END AS kind FROM f)"""

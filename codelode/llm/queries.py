@@ -122,16 +122,46 @@ def p10_forms(spark, sf_dir):
     return forms.select("doc_id", "form", (F.col("form") != F.col("text")).alias("rewritten"))
 
 
-@query("p3_found", handwritten.reference_sql() + " SELECT DISTINCT file_path FROM k WHERE kind <> 'hand-written'")
+# Problem 3 in SQL: layout by counts of one pass over the joined text, with the thresholds written out, and the same
+# statements, of which the patterns are shared, as they are a list of fixed phrases.
+_text_of = lambda s: "'" + s.replace("'", "''") + "'"
+_says = lambda p, x: f"regexp_matches({x}, {_text_of('(?i)' + p)}) AND NOT regexp_matches({x}, {_text_of(handwritten.NO_STATEMENT)})"
+_FILES = f"""one AS (SELECT DISTINCT id, project, file_path, revision, start_line, language, coalesce(content, '') AS t FROM code_chunks WHERE file_path IS NOT NULL),
+cur AS (SELECT *, max(start_line) OVER (PARTITION BY project, file_path, revision) AS last FROM one QUALIFY revision = max(revision) OVER (PARTITION BY project, file_path)),
+f AS (SELECT project, file_path, max(language) AS language, sum(length(t)) AS c, sum(len(string_split(t, chr(10)))) AS n, max(list_max(list_transform(string_split(t, chr(10)), lambda x: length(x)))) AS longest,
+ sum(length(t) - length(regexp_replace(t, '[ \t\r\n]', '', 'g'))) AS space, sum(length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) AS digits, sum(length(t) - length(regexp_replace(t, '[0-9A-Za-z]', '', 'g'))) AS alnum,
+ sum(len(regexp_extract_all(t, '\b[0-9][0-9A-Fa-fxX._]*\b'))) AS numbers, sum(length(t) - length(regexp_replace(t, '[A-Za-z0-9+/=]{{40,}}', '', 'g'))) AS encoded FROM cur GROUP BY project, file_path),
+lay AS (SELECT project, file_path, language, CASE WHEN c < 300 THEN NULL
+ WHEN space / c < CASE WHEN language IN ('javascript', 'typescript') THEN 0.07 WHEN language = 'css' THEN 0.08 WHEN language = 'properties' THEN 0.01 WHEN language IN ('json', 'yaml', 'toml', 'dockerfile', 'markdown') THEN 0.02 ELSE 0.05 END
+  AND (c / n > CASE WHEN language IN ('javascript', 'typescript', 'css') THEN 100 WHEN language IN ('json', 'properties', 'yaml', 'toml', 'dockerfile', 'markdown') THEN 400 ELSE 200 END OR longest > 500 AND longest >= 0.9 * c) THEN 'minified'
+ WHEN digits / c > CASE WHEN language = 'css' THEN 0.3 WHEN language = 'json' THEN 0.35 WHEN language IN ('properties', 'markdown') THEN 0.4 WHEN language IN ('yaml', 'toml', 'dockerfile') THEN 0.45 ELSE 0.25 END
+  OR numbers / c > CASE WHEN language IN ('css', 'json', 'properties', 'yaml', 'toml', 'dockerfile', 'markdown') THEN 0.1 ELSE 0.06 END
+  OR encoded / c > CASE WHEN language IN ('properties', 'yaml', 'toml', 'dockerfile', 'markdown') THEN 0.8 ELSE 0.5 END AND alnum / c > 0.6 THEN 'data' END AS kind FROM f)"""
+_STATED = f"""line AS (SELECT project, file_path, start_line, last, i, string_split(t, chr(10))[i] AS x, len(string_split(t, chr(10))) AS of FROM cur, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS u(i)),
+lead AS (SELECT project, file_path, coalesce(min(CASE WHEN regexp_matches(x, {_text_of(handwritten.CODE_LINE)}) THEN i END), 1000000000) AS code FROM line WHERE start_line = 1 GROUP BY ALL),
+said AS (SELECT l.* FROM line l LEFT JOIN lead ON lead.project = l.project AND lead.file_path = l.file_path WHERE start_line + i - 1 <= 20 OR start_line = 1 AND i < code OR start_line = last AND i > of - 3),
+st AS (SELECT project, file_path, bool_or({_says(handwritten.GENERATED_STATEMENT, "x")}) AS generated, bool_or({_says(handwritten.VENDORED_STATEMENT, "x")}) AS vendored FROM said GROUP BY ALL),
+k AS (SELECT lay.project, lay.file_path, language, CASE WHEN kind IS NOT NULL THEN kind WHEN regexp_matches('/' || lay.file_path, '/({"|".join(handwritten.VENDOR_FOLDERS)})/') OR vendored THEN 'vendored'
+ WHEN regexp_matches('/' || lay.file_path, {_text_of(handwritten.GENERATED_NAME)}) OR generated THEN 'generated' WHEN regexp_matches('/' || lay.file_path, {_text_of(handwritten.MINIFIED_NAME)}) THEN 'minified' ELSE 'hand-written' END AS kind
+ FROM lay LEFT JOIN st ON st.project = lay.project AND st.file_path = lay.file_path)"""
+
+
+@query("p3_found", f"WITH {_FILES}, {_STATED} SELECT DISTINCT file_path FROM k WHERE kind <> 'hand-written'")
 def p3_found(spark, sf_dir):
     return handwritten.not_handwritten(_chunks(spark, sf_dir))
 
 
-@query("p3_kinds", handwritten.reference_sql() + " SELECT project, language, kind, count(*) AS files FROM k GROUP BY ALL")
+@query("p3_kinds", f"WITH {_FILES}, {_STATED} SELECT project, language, kind, count(*) AS files FROM k GROUP BY ALL")
 def p3_kinds(spark, sf_dir):
     return handwritten.classify_files(_chunks(spark, sf_dir)).groupBy("project", "language", "kind").agg(F.count("*").alias("files"))
 
 
+@query("p3_layout", f"WITH {_FILES} SELECT project, file_path, kind FROM lay WHERE kind IS NOT NULL")
+def p3_layout(spark, sf_dir):
+    """What layout tells by itself."""
+    return handwritten.classify_files(_chunks(spark, sf_dir)).where("told_by = 'layout'").select("project", "file_path", "kind")
+
+
 @query("p5_found")
 def p5_found(spark, sf_dir):
     return secrets.secret_lines(_chunks(spark, sf_dir))
