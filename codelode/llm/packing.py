@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers with items of varying length.
 
 Bin completion: the largest item left opens a container, the undominated sets of further items that can
-complete it are enumerated, least waste first, and the search goes on with what is left. A branch is given up
-when the waste so far is more than a solution with one container fewer than the best one could have; the first
-best one, the incumbent, is best fit decreasing. The search ends when the incumbent needs no more containers
-than the total demands, when all branches are done, or when its nodes are used up.
+complete it are enumerated by their sums, and the search goes on with what is left. A branch is given up when the
+waste so far is more than a solution with the wanted number of containers can have. The first incumbent is best fit
+decreasing; numbers between the lower bound and the incumbent are tried by halving, each with completions of least
+waste first and with those of fewest items first. A search ends with a solution, when all branches are done, or when
+its nodes are used up.
 
 A shard of a few hundred containers is one problem. Its containers that are left with room are opened again
 and their items packed together with those of other shards, in rounds of ever fewer shards, so that the last
@@ -25,8 +26,8 @@ from .tokens import VOCABULARY, token_counts
 
 #: Containers and items of a shard.
 SHARD_CONTAINERS, SHARD_ITEMS = 300, 12_000
-#: Nodes of a search beyond two a container, completions looked at in a node, steps of their enumeration.
-NODES, WIDTH, STEPS = 150, 6, 60
+#: Nodes of a search beyond two a container, completions looked at in a node, items whose sums are enumerated at first.
+NODES, WIDTH, MOST_ITEMS = 300, 6, 256
 #: Kinds of container at most; every document is packed once for each.
 KINDS = 64
 #: A container with more room than this share of its capacity is opened again.
@@ -96,108 +97,123 @@ class Multiset:
         return self.order[at - 1] if at else None
 
 
+def _fillings(items: list[int], target: int, sums: list[int], most: int) -> Iterator[tuple[int, ...]]:
+    """Up to ``most`` different sets of items with the sum ``target``, those with the larger items first.
+
+    ``items`` ascend; bit ``t`` of ``sums[i]`` tells whether the first ``i`` of them have a subset of sum ``t``.
+    """
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(len(items), target, ())]
+    found = 0
+    while stack and found < most:
+        i, rest, chosen = stack.pop()
+        if not rest:
+            found += 1
+            yield chosen
+            continue
+        while i and (items[i - 1] > rest or not sums[i - 1] >> (rest - items[i - 1]) & 1):
+            i -= 1  # with this item the rest cannot be reached
+        if not i:
+            continue
+        s, j = items[i - 1], i - 1
+        while j and items[j - 1] == s:
+            j -= 1  # the same size again gives the same set
+        if sums[j] >> rest & 1:
+            stack.append((j, rest, chosen))
+        stack.append((i - 1, rest - s, (*chosen, s)))
+
+
 def completions(left: Multiset, room: int, waste: int, width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:
     """``waste, sizes`` of undominated sets of items that fill ``room`` but for at most ``waste``, least waste first.
 
     A set is dominated, and left out, if another item still fits beside it, or if one of its items can be
     exchanged for a larger one that is left; that the larger items go first only helps what is left.
+
+    All sums of the items are enumerated, as bits of an integer, and sets are read off for the ``width`` greatest that
+    are within the room. Of more than ``MOST_ITEMS`` items that many of all
+    sizes are looked at first, and all of them only if these do not fill the room.
     """
-    found: dict[tuple[int, ...], int] = {}
-    steps = 0
-
-    def extend(room: int, top: int, chosen: tuple[int, ...], depth: int) -> None:
-        nonlocal steps
-        if len(found) >= width and min(found.values()) == 0 or steps > STEPS:
-            return
-        steps += 1
-        exact = left.count.get(room, 0) - chosen.count(room) if room <= top else 0
-        if room and exact > 0:
-            found.setdefault((*chosen, room), 0)
-            return
-        at = bisect_right(left.order, min(room, top))
-        tried = 0
-        while at and tried < 12:
-            at -= 1
-            s = left.order[at]
-            if left.count[s] <= chosen.count(s):
-                continue
-            if depth and s * (depth + 1) + waste < room and len(left.order) > 64:
-                break  # so few items more, all smaller, cannot fill it
-            tried += 1
-            if depth:
-                extend(room - s, s, (*chosen, s), depth - 1)
-            elif room - s <= waste:
-                found.setdefault((*chosen, s), room - s)
+    items = [s for s in left.order[: bisect_right(left.order, room)] for _ in range(min(left.count[s], room // s))]
+    few = items if len(items) <= MOST_ITEMS else sorted(items[i * len(items) // MOST_ITEMS] for i in range(MOST_ITEMS))
+    out: list[tuple[int, tuple[int, ...]]] = []
+    for part in (few, items):
+        mask, sums = (1 << room + 1) - 1, [1]
+        for s in part:
+            sums.append((sums[-1] | sums[-1] << s) & mask)
+        reach, target, tries = sums[-1], room, 0
+        while target >= room - waste and len(out) < width and tries < width:
+            tries += 1
+            target = (reach & (1 << target + 1) - 1).bit_length() - 1
+            if target < max(0, room - waste):
                 break
-        if not tried and room <= waste:
-            found.setdefault(chosen, room)
-
-    for depth in range(5):
-        extend(room, room, (), depth)
-        if any(w == 0 for w in found.values()) and len(found) >= 2:
+            for chosen in _fillings(part, target, sums, width - len(out)):
+                if target == room or not _dominated(left, chosen, room - target):
+                    out.append((room - target, chosen))
+            if target == 0:
+                break
+            target -= 1
+        if out and out[0][0] == 0 or part is items:
             break
-    if not found:
-        # any number of items: the largest that fit, one after the other
-        chosen, rest, spent = [], room, {}
-        at = bisect_right(left.order, rest)
-        while at:
-            s = left.order[at - 1]
-            if left.count[s] > spent.get(s, 0) and s <= rest:
-                spent[s] = spent.get(s, 0) + 1
-                chosen.append(s)
-                rest -= s
-                at = min(at, bisect_right(left.order, rest))
-            else:
-                at -= 1
-        if rest <= waste:
-            found[tuple(chosen)] = rest
-    out = []
-    for chosen, rest in found.items():
-        if rest:
-            used = {s: chosen.count(s) for s in chosen}
-            free = lambda s: left.count.get(s, 0) > used.get(s, 0)  # noqa: B023, E731
-            low = bisect_right(left.order, rest)
-            if any(free(s) for s in left.order[:low]):
-                continue
-            if any(any(free(t) for t in left.order[bisect_right(left.order, s) : bisect_right(left.order, s + rest)]) for s in used):
-                continue
-        out.append((rest, chosen))
-    return sorted(out, key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))[:width]
+        out = []
+    for chosen in _fewest(left, room):  # they may waste more, but keep the smaller items for the smaller rooms
+        rest = room - sum(chosen)
+        if rest <= waste and (rest, chosen) not in out and not _dominated(left, chosen, rest):
+            out.append((rest, chosen))
+    return sorted(out, key=lambda x: x[0])
+
+
+def _fewest(left: Multiset, room: int) -> Iterator[tuple[int, ...]]:
+    """The largest item that fits, and the two that fill most."""
+    at = bisect_right(left.order, room)
+    if at:
+        yield (left.order[at - 1],)
+    best, low, high = None, 0, at - 1
+    while low <= high:
+        a, b = left.order[high], left.order[low]
+        if a + b > room or a == b and left.count[a] < 2:
+            high -= 1
+        else:
+            if best is None or a + b > sum(best):
+                best = (a, b)
+            low += 1
+    if best:
+        yield best
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
-    """Containers as lists of item indices, and whether their number is proved least by ``lower_bound``.
+def _dominated(left: Multiset, chosen: tuple[int, ...], rest: int) -> bool:
+    used = {s: chosen.count(s) for s in chosen}
+    free = lambda s: left.count.get(s, 0) > used.get(s, 0)
+    if any(free(s) for s in left.order[: bisect_right(left.order, rest)]):
+        return True
+    return any(any(free(t) for t in left.order[bisect_right(left.order, s) : bisect_right(left.order, s + rest)]) for s in used)
 
-    Items of size 0 lie in the first container; no size may exceed the capacity.
-    """
-    order = [i for i, s in enumerate(sizes) if s > 0]
-    empty = [i for i, s in enumerate(sizes) if s <= 0]
-    if not order:
-        return ([empty] if empty else []), True
-    kept = [sizes[i] for i in order]
-    total = sum(kept)
-    least = lower_bound(kept, capacity)
-    best = best_fit_decreasing(kept, capacity)
-    proved = len(best) == least
-    left = Multiset([] if proved else kept)
-    nodes += 2 * len(best)
+
+def _least_waste(choices: list, budget: float) -> list:
+    return choices
+
+
+def _fewest_items(choices: list, budget: float) -> list:
+    """The fewest items first of those that waste no more than a container may on the mean; then the others."""
+    return sorted(choices, key=lambda x: (x[0] > budget, len(x[1]) if x[0] <= budget else 0, x[0]))
+
+
+def _search(kept: list[int], capacity: int, most: int, nodes: int, order) -> list[tuple[int, ...]] | None:
+    """At most ``most`` containers, as tuples of sizes, if the search finds them."""
+    total, left = sum(kept), Multiset(kept)
     stack: list[tuple[Iterator, int, int]] = []  # choices, the size that opened the container, waste before it
     chosen: list[tuple[int, ...]] = []
-    spent, waste, solution = 0, 0, None
-    allowed = (len(best) - 1) * capacity - total
+    spent, waste, allowed = 0, 0, most * capacity - total
 
     def open_node() -> bool:
         top = left.order[-1]
         left.take(top)
-        choices = completions(left, capacity - top, max(0, allowed - waste))
+        choices = completions(left, capacity - top, allowed - waste)
         if not choices:
             left.give(top)
             return False
-        stack.append((iter(choices), top, waste))
+        stack.append((iter(order(choices, (allowed - waste) / max(1, most - len(stack)))), top, waste))
         return True
 
-    if left.order:
-        open_node()
+    open_node()
     while stack:
         choices, top, before = stack[-1]
         if len(chosen) == len(stack):
@@ -215,25 +231,39 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list
             left.take(s)
         chosen.append(step[1])
         waste = before + step[0]
-        if waste > allowed:  # choices of before the last solution
-            continue
         if not left.order:
-            solution = [(t, *c) for (_, t, _), c in zip(stack, chosen)]
-            if len(solution) == least:
-                break
-            allowed = (len(solution) - 1) * capacity - total
-        else:
-            open_node()
-    if solution is not None:
+            return [(t, *c) for (_, t, _), c in zip(stack, chosen)]
+        open_node()
+    return None
+
+
+def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+    """Containers as lists of item indices, and whether their number is proved least by ``lower_bound``.
+
+    Items of size 0 lie in the first container; no size may exceed the capacity.
+    """
+    order = [i for i, s in enumerate(sizes) if s > 0]
+    empty = [i for i, s in enumerate(sizes) if s <= 0]
+    if not order:
+        return ([empty] if empty else []), True
+    kept = [sizes[i] for i in order]
+    least = lower_bound(kept, capacity)
+    best = best_fit_decreasing(kept, capacity)
+    bins, number = [[order[i] for i in b] for b in best], len(best)
+    low = least
+    while low < number:  # the waste that is allowed bounds the search: numbers in between are tried by halving
+        most = (low + number - 1) // 2
+        found = (_search(kept, capacity, most, nodes + 2 * number, way) for way in (_least_waste, _fewest_items))
+        solution = next((x for x in found if x is not None), None)
+        if solution is None:
+            low = most + 1
+            continue
         by_size: dict[int, list[int]] = {}
         for i in order:
             by_size.setdefault(sizes[i], []).append(i)
-        bins = [[by_size[s].pop() for s in group] for group in solution]
-        proved = len(bins) == least
-    else:
-        bins = [[order[i] for i in b] for b in best]
+        bins, number = [[by_size[s].pop() for s in group] for group in solution], len(solution)
     bins[0].extend(empty)
-    return bins, proved
+    return bins, number == least
 
 
 def items_of(sizes: DataFrame, limits: DataFrame) -> DataFrame:
@@ -260,7 +290,7 @@ def _packed(items: DataFrame, turn: int) -> DataFrame:
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "doc_id", "piece_no"], ascending=[False, True, True], ignore_index=True)
         capacity = int(rows["capacity"].iloc[0])
-        bins, _ = pack(rows["tokens"].tolist(), capacity)
+        bins, proved = pack(rows["tokens"].tolist(), capacity)
         number = [0] * len(rows)
         room = [0] * len(rows)
         for b, group in enumerate(bins):
@@ -268,9 +298,9 @@ def _packed(items: DataFrame, turn: int) -> DataFrame:
             for i in group:
                 number[i], room[i] = b, free
         bin_id = f"{rows['container'].iloc[0]}-{turn}-{int(rows['shard'].iloc[0])}-"
-        return rows.assign(bin=[bin_id + str(b) for b in number], room=room)[["container", "capacity", "doc_id", "piece_no", "token_from", "tokens", "bin", "room"]]
+        return rows.assign(bin=[bin_id + str(b) for b in number], room=room, proved=proved)[["container", "capacity", "doc_id", "piece_no", "token_from", "tokens", "bin", "room", "proved"]]
 
-    schema = "container string, capacity bigint, doc_id bigint, piece_no int, token_from bigint, tokens bigint, bin string, room bigint"
+    schema = "container string, capacity bigint, doc_id bigint, piece_no int, token_from bigint, tokens bigint, bin string, room bigint, proved boolean"
     return items.groupBy("container", "shard").applyInPandas(solve, schema)
 
 
@@ -285,18 +315,18 @@ def _sharded(items: DataFrame) -> tuple[DataFrame, int]:
 
 
 def pack_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``container, capacity, doc_id, piece_no, token_from, tokens, bin, room``: where each text or piece lies.
+    """``container, capacity, doc_id, piece_no, token_from, tokens, bin, room, proved``: where each text or piece lies.
 
     Every document with an id and a text appears once per container kind, or, if it has more tokens than
     the container holds, once per piece: full pieces, which fill a container each, and a rest. ``room`` is
-    what the container ``bin`` has left. Texts without tokens take no room and lie in the first container of
+    what the container ``bin`` has left, ``proved`` whether the shard it was packed with last needs no fewer containers. Texts without tokens take no room and lie in the first container of
     their shard. NULL ids and texts give no row, repeated ids count once (with their largest size), empty
     tables give an empty result; other columns are not read.
     """
     named = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sizes = token_counts(named, ["doc_id"], vocabulary=vocabulary).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     items = durable(items_of(durable(sizes), limits))
-    full = items.where("tokens = capacity").withColumn("bin", F.concat_ws("-", "container", F.lit("full"), "doc_id", "piece_no")).withColumn("room", F.lit(0).cast("bigint"))
+    full = items.where("tokens = capacity").withColumn("bin", F.concat_ws("-", "container", F.lit("full"), "doc_id", "piece_no")).withColumns({"room": F.lit(0).cast("bigint"), "proved": F.lit(True)})
     done, todo, turn = [full], items.where("tokens < capacity"), 0
     while True:
         sharded, shards = _sharded(todo)
@@ -305,7 +335,7 @@ def pack_documents(documents: DataFrame, limits: DataFrame, vocabulary: str = VO
             done.append(packed)
             break
         done.append(packed.where(F.col("room") <= F.col("capacity") * OPEN_SHARE))
-        reopened = packed.where(F.col("room") > F.col("capacity") * OPEN_SHARE).drop("bin", "room")
+        reopened = packed.where(F.col("room") > F.col("capacity") * OPEN_SHARE).drop("bin", "room", "proved")
         before, todo, turn = shards, durable(reopened), turn + 1
         if _sharded(todo)[1] >= before:  # nothing gained: these items do not go together any better
             done.append(packed.where(F.col("room") > F.col("capacity") * OPEN_SHARE))

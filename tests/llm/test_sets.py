@@ -169,3 +169,23 @@ def test_the_largest_documents_keep_their_probability():
         drawn[0] += q[17]
         drawn[1] += q[18]
     assert all(x / 1500 == pytest.approx(0.4, abs=0.04) for x in drawn)
+
+
+def test_search_improves_on_best_fit_in_large_shards():
+    rng = random.Random(5)
+    sizes = [rng.randint(150, 400) for _ in range(900)]
+    bins, proved = packing.pack(sizes, 1000)
+    assert proved and len(bins) == packing.lower_bound(sizes, 1000) < len(packing.best_fit_decreasing(sizes, 1000))
+    assert sorted(i for b in bins for i in b) == list(range(900)) and all(sum(sizes[i] for i in b) <= 1000 for b in bins)
+
+
+def test_completions_are_the_fullest_sets():
+    rng = random.Random(6)
+    for _ in range(200):
+        items = [rng.randint(3, 30) for _ in range(rng.randint(1, 10))]
+        room = rng.randint(3, 60)
+        got = packing.completions(packing.Multiset(items), room, room)
+        sums = {0}
+        for s in items:
+            sums |= {t + s for t in sums}
+        assert got[0][0] == room - max(t for t in sums if t <= room)
