@@ -90,29 +90,20 @@ def _verified(pairs: DataFrame, threshold: float, width: int) -> DataFrame:
     return pairs.select("id_a", "id_b", "text_a", "text_b").mapInArrow(verify, "id_a bigint, id_b bigint, similarity double")
 
 
-def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """The classes of equal word sequences, and the links between classes.
-
-    * members: ``id, class_id, text``, one row per record that takes part; ``class_id`` is the least id of its
-      class, ``text`` is equal for identical texts.
-    * links: ``id_a, id_b, similarity`` between class ids, ``id_a < id_b``, similarity >= ``threshold``.
-
-    Records with a NULL id or text, with fewer than ``min_words`` words, or with too few words for one
-    shingle take no part. Repeated ids count once (their texts are taken to be equal). Texts of any length
-    are processed whole. Columns other than the two named are not read. Empty tables give empty results.
-    """
+def _classes(records: DataFrame, width: int, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures, the members of classes of equal words, and the signatures of the classes' first ones."""
     signed = durable(signatures(records, width, min_words, id_col, text_col))
     classes = signed.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.max("id").alias("last"))
     copied = classes.where("class_id < last").select("c1", "c2", "class_id")
     member = signed.select("id", "c1", "c2", F.struct("t1", "t2").alias("text")).join(copied, ["c1", "c2"], "left")
     members = member.groupBy("id", F.coalesce("class_id", "id").alias("class_id")).agg(F.min("text").alias("text"))
     spare = member.where("id <> class_id").select("id").distinct()
-    firsts = signed.select("id", "sig").join(spare, "id", "left_anti")
-    entries = index_entries(firsts)
-    other = entries.select("key", F.col("id").alias("id_b"))
-    pairs = entries.withColumnRenamed("id", "id_a").join(other, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
-    sig = signed.select("id", "sig").dropDuplicates(["id"])
+    return signed, members, signed.select("id", "sig").join(spare, "id", "left_anti")
 
+
+def _links(pairs: DataFrame, records: DataFrame, signed: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``id_a, id_b, similarity`` of the candidate pairs that pass the count filter and are similar."""
+    sig = signed.select("id", "sig").dropDuplicates(["id"])
     same = _equal_bytes(
         pairs.join(sig.select(F.col("id").alias("id_a"), F.col("sig").alias("sig_a")), "id_a").join(sig.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b")), "id_b"),
         least_matches(threshold),
@@ -123,7 +114,25 @@ def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, m
     texts = roughly_in(texts, needed, ["id"]).join(needed, "id", "left_semi").dropDuplicates(["id"])
     full = same.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     full = full.join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    return members, _verified(full, threshold, width)
+    return _verified(full, threshold, width)
+
+
+def linked_classes(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """The classes of equal word sequences, and the links between classes.
+
+    * members: ``id, class_id, text``, one row per record that takes part; ``class_id`` is the least id of its
+      class, ``text`` is equal for identical texts.
+    * links: ``id_a, id_b, similarity`` between class ids, ``id_a < id_b``, similarity >= ``threshold``.
+
+    Records with a NULL id or text, with fewer than ``min_words`` words, or with too few words for one
+    shingle take no part. Repeated ids count once (their texts are taken to be equal). Texts of any length
+    are processed whole. Columns other than the two named are not read. Empty tables give empty results.
+    """
+    signed, members, firsts = _classes(records, width, min_words, id_col, text_col)
+    entries = index_entries(firsts)
+    other = entries.select("key", F.col("id").alias("id_b"))
+    pairs = entries.withColumnRenamed("id", "id_a").join(other, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    return members, _links(pairs, records, signed, threshold, width, id_col, text_col)
 
 
 def _equal_bytes(pairs: DataFrame, least: int) -> DataFrame:
@@ -165,6 +174,14 @@ def near_duplicate_pairs(records: DataFrame, threshold: float = 0.8, width: int
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def link_counts(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """``id, class_id, links``: one row per record that takes part, with the number of other classes its class is linked with."""
+    members, links = linked_classes(records, threshold, width, min_words, id_col, text_col)
+    ends = F.explode(F.array("id_a", "id_b")).alias("class_id")
+    degree = links.select(ends).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.select("id", "class_id").join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id, group_id``: the least id that each node is connected with, by alternating star contraction.
 
@@ -190,14 +207,25 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(records: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """``id, class_id, group_id, links``: one row per record that takes part.
+    """``id, class_id, group_id``: one row per record that takes part.
 
-    ``class_id`` is the least id with the same words, ``group_id`` the least id connected by links, and
-    ``links`` counts the other classes that its class is linked with.
+    ``class_id`` is the least id with the same words, ``group_id`` the least id connected by links of the similarity.
+    Of the pairs that share a key only those are made and verified that may connect what is not yet connected: first
+    each record with the first one under its key, then those of different groups. So a template of many variants costs
+    as much as it has records, not pairs.
     """
-    members, links = linked_classes(records, threshold, width, min_words, id_col, text_col)
-    members, links = durable(members), durable(links)
-    grouped = components(members.select(F.col("class_id").alias("id")).distinct(), links)
-    degree = links.select(F.col("id_a").alias("id")).union(links.select("id_b")).groupBy("id").agg(F.count("*").alias("links"))
-    classes = grouped.join(degree, "id", "left").select(F.col("id").alias("class_id"), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(classes, "class_id").select("id", "class_id", "group_id", "links")
+    signed, members, firsts = _classes(records, width, min_words, id_col, text_col)
+    members = durable(members)
+    entries = durable(index_entries(firsts))
+    nodes = members.select(F.col("class_id").alias("id")).distinct()
+    first = entries.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", F.col("lead").alias("id_a"))
+    star = entries.withColumnRenamed("id", "id_b").join(first, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    found = durable(_links(star, records, signed, threshold, width, id_col, text_col).select("id_a", "id_b"))
+    grouped = durable(components(nodes, found))
+    known = entries.join(grouped, "id")
+    other = known.select("key", F.col("id").alias("id_b"), F.col("group_id").alias("group_b"))
+    mixed = known.groupBy("key").agg(F.min("group_id").alias("low"), F.max("group_id").alias("high")).where("low < high").select("key")
+    apart = known.join(mixed, "key", "left_semi").withColumnRenamed("id", "id_a").join(other, "key").where("id_a < id_b AND group_id <> group_b")
+    last = _links(apart.select("id_a", "id_b").distinct(), records, signed, threshold, width, id_col, text_col).select("id_a", "id_b")
+    grouped = components(nodes, durable(found.union(last)))
+    return members.join(grouped.withColumnRenamed("id", "class_id"), "class_id").select("id", "class_id", "group_id")

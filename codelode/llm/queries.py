@@ -77,12 +77,22 @@ def p6_found(spark, sf_dir):
     return neardup.near_duplicate_pairs(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
 
 
+@query(
+    "p6_links",
+    f"""WITH {_SHINGLES}, c AS (SELECT w, min(id) AS class_id FROM d WHERE len(w) >= 30 GROUP BY w), m AS (SELECT d.id, c.class_id FROM d JOIN c ON c.w = d.w),
+e AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM (SELECT id_a, id_b FROM r UNION ALL SELECT id_b, id_a FROM r) r JOIN m x ON x.id = r.id_a JOIN m y ON y.id = r.id_b WHERE x.class_id <> y.class_id)
+SELECT m.id, m.class_id, count(e.b) AS links FROM m LEFT JOIN e ON e.a = m.class_id GROUP BY ALL""",
+)
+def p6_links(spark, sf_dir):
+    return neardup.link_counts(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
+
+
 @query(
     "p6_groups",
     f"""WITH RECURSIVE {_SHINGLES}, c AS (SELECT w, min(id) AS class_id FROM d WHERE len(w) >= 30 GROUP BY w), m AS (SELECT d.id, c.class_id FROM d JOIN c ON c.w = d.w),
 l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM r JOIN m x ON x.id = r.id_a JOIN m y ON y.id = r.id_b WHERE x.class_id <> y.class_id), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 g AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT g.a, e.b FROM g JOIN e ON e.a = g.b)
-SELECT m.id, m.class_id, h.group_id, (SELECT count(*) FROM e WHERE e.a = m.class_id) AS links FROM m JOIN (SELECT a, min(b) AS group_id FROM g GROUP BY a) h ON h.a = m.class_id""",
+SELECT m.id, m.class_id, h.group_id FROM m JOIN (SELECT a, min(b) AS group_id FROM g GROUP BY a) h ON h.a = m.class_id""",
 )
 def p6_groups(spark, sf_dir):
     return neardup.near_duplicate_groups(_chunks(spark, sf_dir), threshold=0.7, width=3, min_words=30)
