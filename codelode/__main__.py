@@ -35,13 +35,14 @@ def main(argv: list[str] | None = None) -> int:
         print(__version__)
         return 0
     from .plans.engine import Engine
+    from .schema import WINDOWS
     from .session import build_session
     from .workspace import parse_changed, tool_scope
 
     scope = tool_scope(getattr(args, "path", ""), args.project)
     engine = Engine(build_session("*"), args.store, scope.name)
     if args.command == "index":
-        print(engine.index_tree(scope.roots, parse_changed(args.changed) or None)["summary"])
+        print(engine.index_tree(scope.roots, parse_changed(args.changed) or None, report=print)["summary"])
     elif args.command == "search":
         if args.json:
             print(engine.payload(args.query, args.limit, scope))
@@ -56,8 +57,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         name, hits, rates = engine.benchmark(args.fixture)
         print(name)
-        hits.orderBy("query_id").show(1000, truncate=False)
-        rates.show()
+        for h in hits.orderBy("query_id").toLocalIterator():
+            print(h["query_id"], *(f"top{w}={'HIT' if h[f'hit_{w}'] else 'MISS'}" for w in WINDOWS))
+        r = rates.first()
+        print(*(f"top{w}: {r[f'hits_{w}']}/{r['queries']} ({r[f'rate_{w}']} %)" for w in WINDOWS))
     return 0
 
 

@@ -44,50 +44,27 @@ def purpose(language: Column, content: Column) -> Column:
             found = found | F.contains(low, F.lit(word))
         return found
 
-    roles = (  # of the JavaScript family, which is all source
-        F.when(_role(language, content, schema.JS_COMPONENT), "react component"),
-        F.when(_role(language, content, schema.JS_HOOK), "custom hook"),
-        F.when(_role(language, content, schema.JS_TEST), "test block"),
-        F.when(_role(language, content, "^export "), "exported api"),
-    )
+    roles = [F.when(_role(language, content, pattern), tag) for pattern, tag in schema.ROLE_TAGS]  # of languages that are all source
 
-    def tags(default: str, *rules: tuple[str, tuple[str, ...]], roles: tuple[Column, ...] = ()) -> Column:
-        joined = F.concat_ws("; ", *roles, *(F.when(holds(*words), tag) for tag, words in rules))
-        return F.when(joined == "", F.lit(default)).otherwise(joined)
-
-    go = F.concat_ws(
-        "; ",
-        F.when(holds("return a + b", "suma"), "adds or combines two integers; suma dos numeros enteros"),
-        F.when(holds("return a - b", "resta"), "subtracts two integers; resta dos numeros enteros"),
-        F.when(holds("return a * b", "multiplicacion"), "multiplies two integers; multiplica dos numeros enteros"),
-        F.when(holds("return a / b", "division"), "divides two integers; divide dos numeros enteros"),
-        F.when(holds("func ") & holds(" int"), "function operating on integer values"),
-    )
-    return (
-        F.when(language == "go", F.when(go == "", F.lit("code block")).otherwise(go))
-        .when(category == "docs", tags("documentation content", ("documentation or usage instructions", ("install", "usage"))))
-        .when(category == "scripts", tags("script or automation block", ("shell script entrypoint", ("#!/bin/",)), ("environment or execution setup", ("export ", "set -"))))
-        .when(category == "dependency_metadata", tags("project or dependency metadata", ("dependency or project metadata", ("dependencies", "require"))))
-        .when(
-            category == "infra_config",
-            tags(
-                "infrastructure or configuration block",
-                ("container or image configuration", ("image:", "docker")),
-                ("service configuration", ("service",)),
-                ("build or workspace configuration", ("rule", "load(")),
-            ),
-        )
-        .otherwise(
-            tags(
-                "code block",
-                ("network or api access", ("fetch", "axios")),
-                ("function or callable block", ("def ", "function ", "=>")),
-                ("class definition", ("class ",)),
-                ("returns computed values", ("return",)),
-                roles=roles,
-            )
-        )
-    )
+    def joined(default: str, parts: list[Column]) -> Column:
+        text = F.concat_ws("; ", *parts)
+        return F.when(text == "", F.lit(default)).otherwise(text)
+
+    def tags(name: str) -> Column:
+        default, rules = schema.CATEGORY_TAGS[name]
+        return joined(default, (roles if name == "source" else []) + [F.when(holds(*words), tag) for tag, words in rules])
+
+    def all_of(choices: list[tuple[str, ...]]) -> Column:
+        found = F.lit(True)
+        for words in choices:
+            found = found & holds(*words)
+        return found
+
+    chain = F.when(language == "go", joined(schema.NO_TAG, [F.when(all_of(choices), tag) for tag, choices in schema.GO_TAGS]))
+    for name in schema.CATEGORY_TAGS:
+        if name != "source":
+            chain = chain.when(category == name, tags(name))
+    return chain.otherwise(tags("source"))
 
 
 def semantic_content(path: Column, language: Column, content: Column) -> Column:

@@ -65,7 +65,11 @@ def ranked_candidates(chunks: DataFrame, queries: DataFrame, candidates: int = s
     wanted = top.select("id").distinct()
     text = roughly_in(text, wanted, ["id"]).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     asked = queries.select("query_id", "query")
-    return rerank(top.join(text, "id").join(asked, "query_id"), F.col("query"), ["query_id"]).drop("query")
+    # the scores are dear for their bytes: as many tasks as for large data, and the window goes by the same key
+    spark = chunks.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = top.join(text, "id").join(asked, "query_id").repartition(parts, "query_id")
+    return rerank(placed, F.col("query"), ["query_id"]).drop("query")
 
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = schema.RESULTS, candidates: int = schema.CANDIDATES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 from ..operators import incremental
 from ..session import ship_package
 from ..sources.tables import spread, table, take_once
@@ -466,13 +468,29 @@ def result_reason(spark, sf_dir):
 
 @query(
     "search_fallback",
-    f"""WITH {_STORED}, m AS (SELECT r.query_id, r.query, r.project, EXISTS (SELECT 1 FROM c WHERE c.project = r.project AND {_SEMANTIC}) AS has FROM retrieval_queries r)
+    f"""WITH {_STORED}, m AS (SELECT r.query_id, r.query, r.project, EXISTS (SELECT 1 FROM c WHERE c.project = r.project AND len(c.embedding) = 64 AND {_SEMANTIC}) AS has FROM retrieval_queries r)
 SELECT query_id, CASE WHEN has THEN 'semantic_hybrid' ELSE 'text' END AS mode FROM m""",
 )
 def search_fallback(spark, sf_dir):
     from .engine import search_modes
 
-    return search_modes(table(spark, sf_dir, "retrieval_queries").select("query_id", "project"), _stored(spark, sf_dir, "project", "language", "category", "embedding"))
+    asked = table(spark, sf_dir, "retrieval_queries").select("query_id", "project", F.array_repeat(F.lit(1.0), 64).alias("vector"))
+    return search_modes(asked, _stored(spark, sf_dir, "project", "language", "category", "embedding"))
+
+
+@query(
+    "search_modes",
+    f"""WITH {_STORED}, {_LAST_RUN}, o AS (SELECT project, (provider, model, dimensions) IS DISTINCT FROM ('embedded', 'mini-lm-64', 64) AS stale FROM m)
+SELECT r.query_id, CASE WHEN coalesce(o.stale, false) THEN 'text_stale_index' WHEN r.query_id % 5 = 0 THEN 'text' WHEN EXISTS (SELECT 1 FROM c WHERE c.project = r.project AND len(c.embedding) = 64 AND {_SEMANTIC}) THEN 'semantic_hybrid' ELSE 'text' END AS mode
+FROM retrieval_queries r LEFT JOIN o ON o.project = r.project""",
+)
+def search_modes(spark, sf_dir):
+    """All ways a search can go: another model's index, a query whose embedding failed (here every fifth), vectors, words."""
+    from .engine import search_modes as modes
+
+    vector = F.when(F.col("query_id") % 5 != 0, F.array_repeat(F.lit(1.0), 64))
+    asked = table(spark, sf_dir, "retrieval_queries").select("query_id", "project", vector.alias("vector"))
+    return modes(asked, _stored(spark, sf_dir, "project", "language", "category", "embedding"), requires_reindex(spark, sf_dir))
 
 
 _TARGETS = """tg AS (SELECT query_id, unnest(expected_files) AS file, NULL::INTEGER AS a, NULL::INTEGER AS b FROM retrieval_queries
@@ -504,9 +522,13 @@ def hit_rate(spark, sf_dir):
 def self_retrieval_hits(spark, sf_dir):
     asked = table(spark, sf_dir, "retrieval_queries")
     words = asked.select("query_id", "project", F.get(text.rank_tokens(F.col("query")), 0).alias("word")).where("word IS NOT NULL")
-    rows = table(spark, sf_dir, "code_chunks").select("id", "project", "file_path", "start_line", "end_line", F.lower("content").alias("low"))
-    found = words.join(rows, "project").where(F.contains("low", "word")).drop("low").dropDuplicates(["query_id", "id"])
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 5")
+    lists = words.groupBy("project").agg(F.collect_list(F.struct("query_id", "word")).alias("words"))  # queries of a project, which are few
+    rows = table(spark, sf_dir, "code_chunks").select("id", "project", "file_path", "start_line", "end_line", "content")
+    hit = F.filter("words", lambda w: F.contains(F.lower("content"), w["word"]))
+    found = rows.join(lists, "project").select("id", "file_path", "start_line", "end_line", F.explode(hit).alias("w")).select("w.query_id", "id", "file_path", "start_line", "end_line")
+    # copies of an id are next to each other in the order, so that no distinct is needed before the window
+    order = Window.partitionBy("query_id").orderBy("id")
+    ranked = found.withColumn("rank", F.dense_rank().over(order)).where("rank <= 5").distinct()
     return evaluate.query_hits(asked, ranked)
 
 
@@ -632,25 +654,18 @@ def _role_sql(pattern):
     return f"(language IN {_in(schema.JS_FAMILY)} AND len(list_filter({_TRIMMED}, lambda x: regexp_matches(x, {_q(pattern)}))) > 0)"
 
 
-def _tags_sql(default, *rules):
-    roles = [(_role_sql(schema.JS_COMPONENT), "react component"), (_role_sql(schema.JS_HOOK), "custom hook"), (_role_sql(schema.JS_TEST), "test block"), (_role_sql("^export "), "exported api")]
-    parts = ", ".join(f"CASE WHEN {c} THEN {_q(t)} END" for c, t in [*roles, *((_has(*w), t) for t, w in rules)])
-    return f"coalesce(nullif(concat_ws('; ', {parts}), ''), {_q(default)})"
+def _joined_sql(default, parts):
+    return f"coalesce(nullif(concat_ws('; ', {', '.join(f'CASE WHEN {c} THEN {_q(t)} END' for c, t in parts)}), ''), {_q(default)})"
+
 
+def _tags_sql(name):
+    default, rules = schema.CATEGORY_TAGS[name]
+    roles = [(_role_sql(pattern), tag) for pattern, tag in schema.ROLE_TAGS] if name == "source" else []
+    return _joined_sql(default, [*roles, *((_has(*words), tag) for tag, words in rules)])
 
-_GO_TAGS = [
-    ("adds or combines two integers; suma dos numeros enteros", _has("return a + b", "suma")),
-    ("subtracts two integers; resta dos numeros enteros", _has("return a - b", "resta")),
-    ("multiplies two integers; multiplica dos numeros enteros", _has("return a * b", "multiplicacion")),
-    ("divides two integers; divide dos numeros enteros", _has("return a / b", "division")),
-    ("function operating on integer values", _has("func ") + " AND " + _has(" int")),
-]
-_PURPOSE = f"""CASE WHEN language = 'go' THEN coalesce(nullif(concat_ws('; ', {", ".join(f"CASE WHEN {c} THEN {_q(t)} END" for t, c in _GO_TAGS)}), ''), 'code block') ELSE CASE {_category("language")}
- WHEN 'docs' THEN {_tags_sql("documentation content", ("documentation or usage instructions", ("install", "usage")))}
- WHEN 'scripts' THEN {_tags_sql("script or automation block", ("shell script entrypoint", ("#!/bin/",)), ("environment or execution setup", ("export ", "set -")))}
- WHEN 'dependency_metadata' THEN {_tags_sql("project or dependency metadata", ("dependency or project metadata", ("dependencies", "require")))}
- WHEN 'infra_config' THEN {_tags_sql("infrastructure or configuration block", ("container or image configuration", ("image:", "docker")), ("service configuration", ("service",)), ("build or workspace configuration", ("rule", "load(")))}
- ELSE {_tags_sql("code block", ("network or api access", ("fetch", "axios")), ("function or callable block", ("def ", "function ", "=>")), ("class definition", ("class ",)), ("returns computed values", ("return",)))} END END"""
+
+_GO_SQL = _joined_sql(schema.NO_TAG, [(" AND ".join(_has(*words) for words in choices), tag) for tag, choices in schema.GO_TAGS])
+_PURPOSE = f"CASE WHEN language = 'go' THEN {_GO_SQL} ELSE CASE {_category('language')} " + " ".join(f"WHEN {_q(k)} THEN {_tags_sql(k)}" for k in schema.CATEGORY_TAGS if k != "source") + f" ELSE {_tags_sql('source')} END END"
 
 
 @query("signature", f"WITH {_STORED} SELECT id, {_SIGNATURE} AS signature FROM c")
@@ -675,14 +690,22 @@ def semantic_content(spark, sf_dir):
 
 @query(
     "mean_pool_normalize",
-    """WITH t AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM t GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label)
+    """WITH t AS (SELECT label, vec_id % 3 <> 0 AS mask, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM t WHERE mask GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label)
 SELECT m.label, m.i::INTEGER AS i, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS x FROM m JOIN n ON n.label = m.label""",
 )
 def mean_pool_normalize(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pooled = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))  # one entry per dimension
-    unit = pooled.select("label", F.posexplode(vectors.normalized(F.col("v.x"))).alias("i", "x"))
+    """The vectors of a label as the token vectors of a text, every third one masked out, by the pooling of the local model."""
+    from ..providers import pool
+
+    ship_package(spark)
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("tokens"))
+
+    @F.pandas_udf("array<double>")
+    def pooled(vectors: pd.Series, masks: pd.Series) -> pd.Series:
+        return pd.Series([pool([[*map(list, v)]], [m])[0] for v, m in zip(vectors, masks)], dtype=object)
+
+    mask = F.transform("tokens.vec_id", lambda i: (i % 3 != 0).cast("int"))
+    unit = rows.select("label", F.posexplode(pooled(F.col("tokens.embedding"), mask)).alias("i", "x"))
     return unit.select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
@@ -703,10 +726,10 @@ _CONFIGS = [(1, " remote ", "local, ,embedded,remote"), (2, "", ""), (3, "embedd
 m AS (SELECT config, trim(x) AS x, min(i) AS i FROM u WHERE trim(x) <> '' GROUP BY config, trim(x)) SELECT config, string_agg(x, ',' ORDER BY i) AS providers FROM m GROUP BY config""",
 )
 def provider_order(spark, sf_dir):
-    rows = spark.createDataFrame(_CONFIGS, "config int, d string, f string")
-    names = F.concat(F.array("d"), F.split("f", ","), F.array(F.lit("embedded"), F.lit("remote")))
-    kept = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""))
-    return rows.select("config", F.array_join(kept, ",").alias("providers"))
+    from ..sources.config import provider_order as order
+
+    rows = [(i, ",".join(order({"default_provider": d, "fallback_providers": f.split(",")}))) for i, d, f in _CONFIGS]
+    return spark.createDataFrame(rows, "config int, providers string")
 
 
 _CHANGED = " /srv/checkouts/lunar-edge/a.go, src//b.go ,, ./c/../d.go"
@@ -714,8 +737,9 @@ _CHANGED = " /srv/checkouts/lunar-edge/a.go, src//b.go ,, ./c/../d.go"
 
 @query("parse_changed", f"SELECT trim(x) AS path FROM (SELECT unnest(string_split({_q(_CHANGED)}, ',')) AS x) WHERE trim(x) <> ''")
 def parse_changed(spark, sf_dir):
-    parts = F.filter(F.transform(F.split(F.lit(_CHANGED), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return spark.range(1).select(F.explode(parts).alias("path"))
+    from ..workspace import parse_changed as parsed
+
+    return spark.createDataFrame([(p,) for p in parsed(_CHANGED)], "path string")
 
 
 @query(

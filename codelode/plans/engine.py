@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..sources.config import load_config, read_fixture
 from ..sources.store import ChunkStore
 from ..workspace import Scope, resolve_changed, resolve_scope, within_roots
 
+#: What users are told.
 STALE_WARNING = "The index was built with another embedding model; results come from text search until it is refreshed."
 REFRESH_FIRST = "Refresh the project index before trusting semantic ranking."
 NO_INDEX = "This project does not have a usable index yet."
@@ -37,11 +39,21 @@ def payload_rows(results: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def search_modes(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, mode``: semantic where the query's project has rows to compare with, else text."""
-    has = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & is_semantic(F.col("category"))).select("project").distinct()
-    joined = queries.join(has.withColumn("has", F.lit(True)), "project", "left")
-    return joined.select("query_id", F.when(F.coalesce("has", F.lit(False)), "semantic_hybrid").otherwise("text").alias("mode"))
+def search_modes(queries: DataFrame, chunks: DataFrame, stale: DataFrame | None = None) -> DataFrame:
+    """``query_id, mode``: ``text_stale_index`` where the query's project was indexed with another model, ``semantic_hybrid``
+    where the query has a vector and its project rows of that length to compare it with, else ``text``.
+
+    ``queries`` has ``query_id, project, vector`` (NULL where embedding failed), ``stale`` ``project, stale``.
+    """
+    rows = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & is_semantic(F.col("category")))
+    has = rows.select("project", F.size("embedding").alias("size")).distinct().withColumn("has", F.lit(True))
+    asked = queries.withColumn("size", F.coalesce(F.size("vector"), F.lit(-1)))
+    joined = asked.join(has, ["project", "size"], "left")
+    if stale is not None:
+        joined = joined.join(stale.select("project", "stale"), "project", "left")
+    old = F.coalesce(F.col("stale"), F.lit(False)) if stale is not None else F.lit(False)
+    mode = F.when(old, "text_stale_index").when(F.coalesce("has", F.lit(False)), "semantic_hybrid").otherwise("text")
+    return joined.select("query_id", mode.alias("mode"))
 
 
 def chunk_id(path: Column, number: Column) -> Column:
@@ -79,24 +91,37 @@ class Engine:
             return None
 
     # -- writing ---------------------------------------------------------------------------------------
-    def chunks_of(self, sources: DataFrame, size: int = schema.MAX_LINES) -> DataFrame:
-        """``file_path, language, content`` as rows of the store, embedded if there is a provider."""
+    def chunks_of(self, sources: DataFrame, size: int = schema.MAX_LINES, strict: bool = False) -> DataFrame:
+        """``file_path, language, content`` as rows of the store, embedded if there is a provider; ``strict``: or not at all."""
         cut = chunking.chunk_files(sources, size)
         enriched = semantic_content(F.col("file_path"), F.col("language"), F.col("content"))
-        vector = embed_column(self.provider, enriched) if self.provider is not None else F.lit(None).cast("array<float>")
+        vector = embed_column(self.provider, enriched, strict=strict) if self.provider is not None else F.lit(None).cast("array<float>")
         return cut.select(
             chunk_id(F.col("file_path"), F.col("chunk_no")).alias("id"), "file_path", "content", "start_line", "end_line", "language",
             category_of(F.col("language")).alias("category"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"), vector.alias("embedding"),
         )
 
-    def index_tree(self, roots: list[str], changed: list[str] | None = None) -> dict:
-        """Indexes the supported files below the roots; with ``changed``, only those paths.
+    def _scanned(self, roots: list[str]) -> DataFrame:
+        """The supported files below the roots; raises for a root that is a file of no supported type."""
+        scanned = files.scan(self.spark, roots)
+        for root in roots:
+            at = self.store._path(root)
+            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile() and not scanned.where(F.col("file_path") == root).select("file_path").take(1):
+                raise ValueError(f"unsupported file type: {root}")
+        return scanned
+
+    def index_tree(self, roots: list[str], changed: list[str] | None = None, strict: bool = False, report: Callable[[str], None] | None = None) -> dict:
+        """Indexes the supported files below the roots (folders or single files); with ``changed``, only those paths.
 
         Files that are there but not to be indexed, changed files that are gone, and excluded folders lose
         their chunks. Raises if a full index finds nothing to do, and if an incremental one would mix vectors
-        of two models.
+        of two models. Chunks and metadata become visible in one swap.
+
+        ``strict``, the way of the tools: the first failure of the embedder ends it with the index as it was, and
+        excluded folders are not cleared. ``report`` is told what is being done.
         """
-        scanned = files.scan(self.spark, roots)
+        say = report or (lambda text: None)
+        scanned = self._scanned(roots)
         skipped = scanned.where("NOT indexed").select("file_path")
         wanted = scanned.where("indexed")
         if changed:
@@ -110,14 +135,15 @@ class Engine:
             gone = skipped
             if not wanted.take(1):
                 raise ValueError("no file to index")
-        if self.provider is not None:
-            self.store.set_metadata(self.provider.name, self.provider.model, self.provider.dimensions)
-        rows = durable(self.chunks_of(wanted))  # embedding is the dear part: done once, read by the store's passes
+        say(f"Found {wanted.count()} {'changed ' if changed else ''}supported files")
+        rows = durable(self.chunks_of(wanted, strict=strict))  # embedding is the dear part: done once, read by the store's passes
         emptied = wanted.select("file_path").union(gone)
-        counts = rows.agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files")).first()
-        if rows.columns and (counts["chunks"] or changed or emptied.take(1)):
-            self.store.replace_files(rows, emptied)
-        if not changed and self.store.manifest()["folders"]:
+        counts = rows.agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"), F.count("embedding").alias("embedded")).first()
+        say(f"Cut into {counts['chunks']} chunks, of which {counts['embedded']} have a vector")
+        of = None if self.provider is None else (self.provider.name, self.provider.model, self.provider.dimensions)
+        self.store.replace_files(rows, emptied, of)
+        if not changed and not strict and self.store.manifest()["folders"]:
+            say("Clearing excluded folders")
             path, inside = F.col("file_path"), F.lit(False)
             for root in roots:  # chunks of folders that have become excluded
                 inside = inside | (under(path, root) & in_excluded_dir(F.substring(path, len(root) + 1, 1 << 20)))
@@ -126,8 +152,10 @@ class Engine:
                 self.store.delete_paths(hit)
         mode = "incremental" if changed else "full"
         label = "changed files" if changed else "files"
+        left_out = gone.count()
+        say(f"Done: {counts['files']} files, {counts['chunks']} chunks, {left_out} paths left out")
         return {
-            "project": self.project, "mode": mode, "indexed_files": counts["files"], "indexed_chunks": counts["chunks"], "skipped_paths": gone.count(), "roots": roots,
+            "project": self.project, "mode": mode, "indexed_files": counts["files"], "indexed_chunks": counts["chunks"], "skipped_paths": left_out, "roots": roots,
             "summary": f"Successfully indexed {counts['files']} {label} and {counts['chunks']} chunks for {self.project}",
         }
 

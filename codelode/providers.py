@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,9 +65,13 @@ class ConstantProvider:
         return [list(self.vector) for _ in texts]
 
 
+#: Times that a server is asked, and seconds of waiting before the second time, doubled before each further one.
+TRIES, WAIT_SECONDS = 3, 0.5
+
+
 @dataclass
 class RemoteProvider:
-    """A server with the common ``/embeddings`` interface; a whole batch is one request."""
+    """A server with the common ``/embeddings`` interface; a whole batch is one request, tried ``TRIES`` times."""
 
     base_url: str
     model: str
@@ -77,21 +82,31 @@ class RemoteProvider:
     def endpoint(self) -> str:
         return self.base_url.rstrip("/") + "/embeddings"
 
-    def embed(self, texts: list[str]) -> list[list[float] | None]:
+    def _ask(self, texts: list[str]) -> list[list[float] | None]:
         body = json.dumps({"input": texts, "model": self.model}).encode()
         request = urllib.request.Request(self.endpoint(), body, {"Content-Type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout_seconds) as reply:
-                data = json.load(reply)["data"]
-        except Exception:  # a chunk without a vector is kept and found by its text
-            return [None] * len(texts)
+        with urllib.request.urlopen(request, timeout=self.timeout_seconds) as reply:
+            data = json.load(reply)["data"]
         found = {d.get("index", i): d["embedding"] for i, d in enumerate(data)}
         return [found.get(i) for i in range(len(texts))]
 
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        """The vectors of the texts; raises if the server does not answer."""
+        for k in range(TRIES):
+            try:
+                return self._ask(texts)
+            except Exception:
+                if k + 1 == TRIES:
+                    raise
+                time.sleep(WAIT_SECONDS * 2**k)
+        raise AssertionError
+
     def probe(self) -> int:
-        """The dimensions the server answers with; 0 if it does not answer."""
+        """The dimensions the server answers with; raises if it does not answer or answers with nothing."""
         vector = self.embed(["dimensions"])[0]
-        return len(vector) if vector else 0
+        if not vector:
+            raise ValueError("the server answered without a vector")
+        return len(vector)
 
 
 @dataclass
@@ -148,8 +163,28 @@ def pool(hidden, mask) -> list[list[float] | None]:
     return out
 
 
-def embed_column(provider: Provider, text: Column, batch: int = 64) -> Column:
-    """The vectors of a text column, in Arrow batches; NULL where the text is or the provider fails."""
+def embed_column(provider: Provider, text: Column, batch: int = 64, strict: bool = False) -> Column:
+    """The vectors of a text column, in Arrow batches; NULL where the text is.
+
+    If a batch fails its texts are tried one by one, and those that fail have NULL, as a chunk without a vector is
+    kept and found by its text; with ``strict`` the failure is raised instead.
+    """
+
+    def vectors_of(texts: list[str]) -> list:
+        try:
+            return provider.embed(texts)
+        except Exception:
+            if strict:
+                raise
+            return [None] if len(texts) == 1 else _one_by_one(texts)
+
+    def _one_by_one(texts: list[str]) -> list:
+        out: list = []
+        for t in texts:
+            out += vectors_of([t])
+            if len(out) == 2 and out == [None, None]:  # the provider is down, not a text at fault
+                return out + [None] * (len(texts) - 2)
+        return out
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -157,11 +192,9 @@ def embed_column(provider: Provider, text: Column, batch: int = 64) -> Column:
             out: list = []
             for i in range(0, len(part), batch):
                 texts = part.iloc[i : i + batch].tolist()
-                try:
-                    vectors = provider.embed(["" if t is None else t for t in texts])
-                except Exception:
-                    vectors = [None] * len(texts)
-                out += [None if t is None else v for t, v in zip(texts, vectors)]
+                known = [t for t in texts if t is not None]
+                found = iter(vectors_of(known) if known else [])
+                out += [None if t is None else next(found) for t in texts]
             yield pd.Series(out, dtype=object)
 
     return run(text)
@@ -173,7 +206,9 @@ def make_provider(name: str, config: dict) -> Provider:
     if name == "remote":
         if not section.get("enabled") or not section.get("base_url"):
             raise ValueError("the remote provider is not enabled")
-        return RemoteProvider(section["base_url"], section.get("model", ""), section.get("dimensions", 0), section.get("timeout_seconds", 30))
+        remote = RemoteProvider(section["base_url"], section.get("model", ""), 0, section.get("timeout_seconds", 30))
+        remote.dimensions = remote.probe()  # also tells whether the server is there
+        return remote
     if name == "embedded":
         if section.get("model_path"):
             return OnnxProvider(section["model_path"], section["tokenizer_path"], section.get("model", ""), section.get("dimensions", 384), section.get("sequence_length", 512))
@@ -197,12 +232,12 @@ def resolve_provider(config: dict) -> Provider:
 
 
 def provider_status(config: dict) -> list[dict]:
-    """Each provider in order, and whether it can be made."""
+    """Each provider in order, and whether it can be made; a remote one's server is asked for a vector."""
     out = []
     for name in provider_order(config):
         try:
             p = make_provider(name, config)
-            out.append({"provider": name, "ready": True, "model": p.model, "dimensions": p.dimensions, "detail": ""})
+            out.append({"provider": name, "ready": True, "model": p.model, "dimensions": p.dimensions, "detail": f"ready ({p.dimensions} dimensions)"})
         except Exception as e:
             out.append({"provider": name, "ready": False, "model": "", "dimensions": 0, "detail": str(e)})
     return out

@@ -21,19 +21,21 @@ METADATA_FIELDS = ["provider", "model", "dimensions"]
 _RANGE = T.StructType().add("file", "string").add("start_line", "integer").add("end_line", "integer")
 _QUERY = T.StructType().add("name", "string").add("query", "string").add("expected_files", T.ArrayType(T.StringType())).add("expected_chunks", T.ArrayType(_RANGE))
 FIXTURE_SCHEMA = T.StructType().add("name", "string").add("queries", T.ArrayType(_QUERY))
-FILE_SCHEMA = T.StructType().add("file_path", "string").add("content", "string")
+#: A changed file; ``sequence`` (an offset, a version, an event's microseconds) tells which of several changes is the last.
+FILE_SCHEMA = T.StructType().add("file_path", "string").add("content", "string").add("sequence", "long")
 
-#: Search depths.
+#: Search depths.
 CANDIDATES, RESULTS, WINDOWS = 25, 5, (3, 5)
-#: Lines of a tumbling chunk.
+#: Fixed value: lines of a tumbling chunk.
 MAX_LINES = 10
-#: Ranking weights and limits.
+#: Ranking weights and limits.
 EXACT_PHRASE, TOKEN_OVERLAP, FILE_NAME, ACTIONABLE, BUILD_ARTIFACT = 0.08, 0.18, 0.06, 0.04, 0.25
 PER_FILE, SLACK_LINES = 2, 12
 
-#: Categories that are never searched semantically nor indexed.
+#: Categories that are never searched semantically nor indexed.
 UNINDEXED = ["docs", "dependency_metadata"]
-#: Folders that are never scanned; the fourth is the engine's own.
+#: Folders that are never scanned (the fourth is the engine's own), parts of paths of built files, beginnings
+#: of code to act on, and words that rank nothing.
 EXCLUDED_DIRS = [".git", "node_modules", ".opencode", ".codelode", "coverage", "playwright-report", "test-results", "dist", ".next", "build"]
 ARTIFACT_MARKERS = ["/dist/", "/coverage/", "/build/", "/.next/", "/playwright-report/", "/test-results/"]
 ACTIONABLE_PREFIXES = ["func ", "export function ", "function ", "class ", "export class ", "type ", "const use", "function use", "test(", "it(", "describe("]
@@ -70,6 +72,7 @@ EXTENSIONS = {
     "conf": "config", "xml": "xml", "properties": "properties", "gradle": "gradle", "sql": "sql", "proto": "proto", "graphql": "graphql", "gql": "graphql",
     "css": "css", "scss": "scss", "sass": "sass", "less": "less", "yml": "yaml", "yaml": "yaml", "bzl": "bazel.bzl",
 }
+#: Categories of languages; all others are ``source``.
 CATEGORIES = {
     "shell": "scripts", "markdown": "docs", "gitignore": "docs", "json": "dependency_metadata", "toml": "dependency_metadata", "properties": "dependency_metadata",
     "xml": "dependency_metadata", "makefile": "dependency_metadata", "gradle": "dependency_metadata", "lockfile": "dependency_metadata",
@@ -102,3 +105,23 @@ def boundary_pattern(language: str) -> str | None:
     """One pattern for the starts of the language's blocks, or None where there are none."""
     patterns = BOUNDARIES.get("javascript" if language in JS_FAMILY else language)
     return None if patterns is None else "|".join(f"(?:{p})" for p in patterns).replace(r"\s", r"[\t\n\f\r ]")
+
+
+#: What a chunk seems to be for, told by words in it. A tag with several words needs one of them; those of
+#: ``GO_TAGS`` that are given as a list of choices need one of each.
+GO_TAGS = [
+    ("adds or combines two integers; suma dos numeros enteros", [("return a + b", "suma")]),
+    ("subtracts two integers; resta dos numeros enteros", [("return a - b", "resta")]),
+    ("multiplies two integers; multiplica dos numeros enteros", [("return a * b", "multiplicacion")]),
+    ("divides two integers; divide dos numeros enteros", [("return a / b", "division")]),
+    ("function operating on integer values", [("func ",), (" int",)]),
+]
+ROLE_TAGS = [(JS_COMPONENT, "react component"), (JS_HOOK, "custom hook"), (JS_TEST, "test block"), ("^export ", "exported api")]
+CATEGORY_TAGS = {  # category -> what to say without any, the tags
+    "docs": ("documentation content", [("documentation or usage instructions", ("install", "usage"))]),
+    "scripts": ("script or automation block", [("shell script entrypoint", ("#!/bin/",)), ("environment or execution setup", ("export ", "set -"))]),
+    "dependency_metadata": ("project or dependency metadata", [("dependency or project metadata", ("dependencies", "require"))]),
+    "infra_config": ("infrastructure or configuration block", [("container or image configuration", ("image:", "docker")), ("service configuration", ("service",)), ("build or workspace configuration", ("rule", "load("))]),
+    "source": ("code block", [("network or api access", ("fetch", "axios")), ("function or callable block", ("def ", "function ", "=>")), ("class definition", ("class ",)), ("returns computed values", ("return",))]),
+}
+NO_TAG = "code block"

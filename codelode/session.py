@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -41,7 +44,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     _shipped.add(application)
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="codelode-"), "codelode_package.zip")
+    folder = tempfile.mkdtemp(prefix="codelode-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "codelode_package.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for name in sorted(files):
@@ -54,7 +59,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) is a temporary folder taken.
+    Only in local mode, where the setting may be absent, is a temporary folder taken, and removed at the end; a cluster
+    without the setting is refused, as its executors could not read each other's folders.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -62,7 +68,11 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codelode-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors can reach")
+        folder = tempfile.mkdtemp(prefix="codelode-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -28,13 +28,6 @@ def excluded_prefixes(paths: DataFrame) -> DataFrame:
     return paths.select(prefix.alias("prefix")).where("prefix <> ''").distinct()
 
 
-def read_tree(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """``file_path, content`` of every file below the roots, as UTF-8; a file under two roots appears once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return files.select(path.alias("file_path"), F.col("content").cast("string").alias("content")).dropDuplicates(["file_path"])
-
-
 def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``file_path, content, language, category, indexed`` of the supported files below the roots.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import posixpath
-import re
 from dataclasses import dataclass, field
 
 MARKERS = [".git", "go.mod", "package.json", "pyproject.toml", "Cargo.toml"]
@@ -113,8 +112,3 @@ def tool_scope(path: str = "", project: str = "") -> Scope:
     if not path.strip() and project.strip():
         return Scope(normalize_project_name(project))
     return resolve_scope(path.strip() or ".", project)
-
-
-def is_wildcard(text: str) -> bool:
-    """Whether a search text holds a wildcard of LIKE."""
-    return bool(re.search(r"[%_]", text))

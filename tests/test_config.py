@@ -33,7 +33,43 @@ def test_pooling():
     hidden = np.array([[[3.0, 0.0], [1.0, 0.0], [9.0, 9.0]], [[0.0, 0.0]] * 3, [[1.0, 1.0]] * 3])
     assert providers.pool(hidden, [[1, 1, 0], [1, 0, 0], [0, 0, 0]]) == [[1.0, 0.0], [0.0, 0.0], None]
     assert providers.RemoteProvider("http://h/v1/", "m").endpoint() == "http://h/v1/embeddings"
-    assert providers.RemoteProvider("http://127.0.0.1:9", "m", timeout_seconds=1).probe() == 0
+
+
+def test_server_is_probed_and_asked_again(spark, monkeypatch):
+    import http.server
+    import threading
+
+    monkeypatch.setattr(providers, "WAIT_SECONDS", 0.01)
+    calls = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            calls.append(len(texts))
+            ok = len(calls) % 2 == 0 and "bad" not in texts  # every other request fails, and those with a certain text
+            self.send_response(200 if ok else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 1.0, 0.0]} for i, t in enumerate(texts)]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        given = {"default_provider": "remote", "remote": {"enabled": True, "base_url": f"http://127.0.0.1:{server.server_port}/v1", "model": "m", "timeout_seconds": 5}}
+        made = providers.make_provider("remote", given)
+        assert made.dimensions == 3 and made.embed(["ab"]) == [[2.0, 1.0, 0.0]]
+        assert providers.provider_status(given)[0]["detail"] == "ready (3 dimensions)"
+        rows = spark.createDataFrame([("a",), ("bad",), (None,), ("abc",)], "t string").coalesce(1)
+        assert [r[0] for r in rows.select(providers.embed_column(made, rows.t)).collect()] == [[1.0, 1.0, 0.0], None, None, [3.0, 1.0, 0.0]]
+        with pytest.raises(Exception):
+            rows.select(providers.embed_column(made, rows.t, strict=True)).collect()
+    finally:
+        server.shutdown()
+    with pytest.raises(Exception):
+        providers.make_provider("remote", given)
+    assert providers.resolve_provider(given).name == "embedded" and providers.provider_status(given)[0]["ready"] is False
 
 
 def test_embedding_column_keeps_rows_that_fail(spark):

@@ -119,6 +119,85 @@ def test_stream_refresh(spark, tmp_path):
     assert [r.file_path for r in e.store.read().collect()] == ["/r/c.go"]
 
 
+def test_last_of_several_changes_in_a_batch_counts(spark, tmp_path):
+    from codelode.streaming.refresh import refresh_batch
+
+    e = engine(spark, tmp_path)
+    rows = [("/r/a.go", "func Z() {\n}\n", 1), ("/r/a.go", "func B() {\n}\n", 2), ("/r/b.go", None, 4), ("/r/b.go", "func C() {\n}\n", 9), ("/r/c.go", "func D() {\n}\n", 3), ("/r/c.go", None, 5)]
+    batch = spark.createDataFrame(rows, "file_path string, content string, sequence long")
+    for _ in range(2):  # again after a failure
+        refresh_batch(e, batch)
+        assert sorted((r.file_path, r.content) for r in e.store.read().collect()) == [("/r/a.go", "func B() {\n}"), ("/r/b.go", "func C() {\n}")]
+    only = spark.createDataFrame([("/r/b.go",)], "file_path string")
+    assert [r.file_path for r in e.store.read_files(only).collect()] == ["/r/b.go"]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    from codelode.sources.store import StoreConflict
+
+    row = "CAST({i} AS bigint) AS id, '/p{i}.go' AS file_path, 'x' AS content, 1 AS start_line, 1 AS end_line, 'go' AS language, CAST(NULL AS string) AS category, timestamp_ntz'2025-01-01 00:00:00' AS created_at, CAST(NULL AS array<float>) AS embedding"
+    one, two = (ChunkStore(spark, str(tmp_path), "p", buckets=1) for _ in range(2))
+    stale = one.manifest()
+    two.replace_files(spark.sql("SELECT " + row.format(i=1)), metadata=("a", "m", 3))
+    with pytest.raises(StoreConflict):
+        one._swap(stale | {"metadata": None})
+    first = [stale]
+    real = one.manifest
+    monkeypatch.setattr(one, "manifest", lambda: first.pop() if first else real())  # reads before the other one writes
+    one.replace_files(spark.sql("SELECT " + row.format(i=2)))
+    assert sorted(r.id for r in two.read().collect()) == [1, 2] and two.metadata()["model"] == "m"
+    two.vacuum()
+    assert one.read().count() == 2
+
+
+def test_buckets_are_doubled_as_a_project_grows(spark, tmp_path, monkeypatch):
+    from codelode.sources import store as module
+
+    monkeypatch.setattr(module, "BUCKET_BYTES", 3_000)
+    s = ChunkStore(spark, str(tmp_path), "p", buckets=1)
+    for k in range(3):
+        rows = spark.range(k * 40, k * 40 + 40).selectExpr("id", "concat('/f', id, '.go') AS file_path", "repeat(string(id), 40) AS content", "1 AS start_line", "1 AS end_line", "'go' AS language", "CAST(NULL AS string) AS category", "timestamp_ntz'2025-01-01 00:00:00' AS created_at", "CAST(NULL AS array<float>) AS embedding")
+        s.replace_files(rows)
+    assert s.manifest()["buckets"] > 1 and s.read().count() == 120
+    assert s.read_files(spark.createDataFrame([("/f7.go",)], "file_path string")).count() == 1
+
+
+def test_strict_index_and_single_files(spark, tmp_path, tree):
+    class Broken(HashingProvider):
+        def embed(self, texts):
+            raise RuntimeError("no answer")
+
+    e = engine(spark, tmp_path)
+    said = []
+    e.index_tree([str(tree / "src" / "load.py")], report=said.append)
+    assert {r.file_path for r in e.store.read().collect()} == {str(tree / "src" / "load.py")} and any("1 files" in x for x in said)
+    before = e.store.manifest()
+    for root in ("notes.bin",):
+        with pytest.raises(ValueError, match="unsupported file type"):
+            e.index_tree([str(tree / root)])
+    e.provider = Broken(64)
+    with pytest.raises(Exception, match="no answer"):
+        e.index_tree([str(tree)], strict=True)
+    assert e.store.manifest() == before
+    e.index_tree([str(tree)])
+    assert e.store.stats()["embedded"] == 0 and e.store.stats()["files"] == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from codelode import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_command_line_arguments():
     from codelode.__main__ import main, parser
 

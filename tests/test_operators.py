@@ -1,5 +1,6 @@
 """Chunking, enrichment, ranking, evaluation and plain functions, on hand-made cases."""
 
+import numpy as np
 import random
 
 import pytest
@@ -178,3 +179,20 @@ def test_preview_and_reason(spark):
     assert row[0] == "x y z" and row[1] == "a" * 157 + "..."
     assert row[2] == "strong semantic match; actionable source code; file content aligns with file name" and row[3] == "relevant ranked match"
     assert schema.boundary_pattern("json") is None
+
+
+def test_batch_search_by_scan_and_by_blocks_agree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, "p" if i % 3 else "q", rng.normal(size=8 if i % 11 else 4).tolist(), None, "go") for i in range(400)]
+    rows += rows[:40] + [(900, "p", None, None, "go"), (901, "p", [], None, "go"), (902, "p", [0.0] * 8, None, "go"), (903, None, [1.0] * 8, None, "go")]
+    chunks = spark.createDataFrame(rows, "id bigint, project string, embedding array<float>, category string, language string").repartition(5)
+    asked = [(k, "pq"[k % 2], rng.normal(size=8 if k % 5 else 4).tolist()) for k in range(12)] + [(50, "none", [1.0] * 8), (51, "p", None), (52, "q", [0.0] * 8)]
+    queries = spark.createDataFrame(asked, "query_id bigint, project string, vector array<float>")
+    scan = {(r.query_id, r.id, r["rank"]) for r in search.batch_topk(chunks, queries, 7).collect()}
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 50)
+    assert {(r.query_id, r.id, r["rank"]) for r in search.batch_topk(chunks, queries, 7).collect()} == scan
+    assert len({q for q, _, _ in scan}) == 13 and max(r for _, _, r in scan) == 7
+    for q, project, v in asked[:12]:
+        best = sorted(((-float(np.dot(np.float32(x), np.float32(v)) / np.linalg.norm(np.float32(x)) / np.linalg.norm(np.float32(v))), i) for i, p, x, _, _ in rows[:400] if p == project and len(x) == len(v)))[:7]
+        assert [i for _, i in best] == [i for _, i in sorted((r, i) for k, i, r in scan if k == q)]
