@@ -310,7 +310,7 @@ def test_files_are_put_together_and_judged(spark):
     frame = spark.createDataFrame(rows, CHUNKS)
     assert sorted(r.file_path for r in syntax.invalid_files(frame).collect()) == ["/b.go", "/c.json"]
     rates = {r.language: (r.files, r.invalid, r.rate) for r in syntax.invalid_rates(frame).collect()}
-    assert rates == {"go": (2, 1, 0.5), "json": (1, 1, 1.0), "python": (1, 0, 0.0)}
+    assert rates == {"go": (2, 1, 0.5), "json": (1, 1, 1.0), "python": (1, 0, 0.0), "sql": (1, 0, None)}
     assert syntax.invalid_files(frame.limit(0)).count() == 0
 
 
@@ -328,3 +328,38 @@ def test_arguments_and_literals_over_lines_are_found():
         assert secrets.redact(code, spans) == code.replace(secret, secrets.MASK)
     none = ['getPassword("db.main1")', 'setPassword(env.get("DB_PASSWORD"))', 'validateToken("invalid token 1")', 'hashPassword("Tr0ub4dor&3")', 'password_label = "enter your password"', '# setPassword("Tr0ub4dor&3")', 'auth("Tr0ub4dor&3x")', "setToken(token)", 'setPassword("<your password>")']
     assert [c for c in none if secrets.find_secrets(c, "python")] == []
+
+
+def test_costs_and_places_of_bracket_edits():
+    assert syntax.diagnose("python", "def f(:\n  pass") == (1, "error")
+    assert syntax.diagnose("python", "x = f(1,\n") == (1, "truncation")
+    assert syntax.diagnose("go", "package a\n\nfunc f() {\n\tx()\n") == (1, "truncation")
+    assert syntax.diagnose("go", "package a\n\nfunc f()\n\tx()\n}\n") == (1, "error")
+    assert syntax.diagnose("javascript", "f(a, b;\ng();\n") == (1, "error")
+    assert syntax.diagnose("java", "class A {\n  void f() {\n    g();\n") == (2, "truncation")
+    assert syntax.diagnose("javascript", "<<<<<<< HEAD\nf();\n=======\ng();\n>>>>>>> b\n")[1] == "conflict"
+    cost, faults = syntax.edit_cost("javascript", "f(a b);\ng(c d e);\n")
+    assert cost == 2 and [f.cost for f in faults] == [1, 1]  # "c d e" needs but another token in the middle
+    assert syntax.edit_cost("javascript", "f(a, b);\n") == (0, [])
+
+
+def test_rates_have_a_row_for_every_language(spark):
+    rows = [chunk(1, "a.go", "package a\n", "go"), chunk(2, "b.go", "package\n", "go"), chunk(3, "c.sql", "select", "sql"), chunk(4, "d", "x", None)]
+    got = {r.language: (r.files, r.judged, r.invalid, r.rate) for r in syntax.invalid_rates(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert got == {"go": (2, 2, 1, 0.5), "sql": (1, 0, 0, None), None: (1, 0, 0, None)}
+
+
+def test_range_maxima_of_long_texts_do_not_depend_on_the_stretch(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word ", "x = 1;\n", "\n\n", "func f() {\n", "}\n", "é"]) for _ in range(4000))
+    want = splitting.split_text(text, 120, 2, "go")
+    monkeypatch.setattr(splitting.SparseTable, "STRETCH", 1)
+    assert splitting.split_text(text, 120, 2, "go") == want and len(want) > 50
+
+
+def test_layout_speaks_first_and_statements_in_long_comments_count(spark):
+    licence = "\n".join(f"// line {i} of a licence" for i in range(30))
+    files = {"a.js": "x" * 50 + "=1;" * 400, "b.go": licence + "\n// Code generated by tool. DO NOT EDIT.\npackage a\n", "c.go": "package a\n" + licence + "\n// Code generated by tool. DO NOT EDIT.\n\nfunc f() {\n}\n\nvar x = 1\n", "vendor/d.go": "package d\n"}
+    rows = [chunk(i, p, t, "javascript" if p.endswith("js") else "go") for i, (p, t) in enumerate(files.items())]
+    got = {r.file_path: (r.kind, r.told_by) for r in handwritten.classify_files(spark.createDataFrame(rows, CHUNKS)).collect()}
+    assert got == {"a.js": ("minified", "layout"), "b.go": ("generated", "statement"), "c.go": ("hand-written", None), "vendor/d.go": ("vendored", "place")}
