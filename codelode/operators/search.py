@@ -41,18 +41,17 @@ def semantic_topk(chunks: DataFrame, vector: list[float], k: int = schema.CANDID
 
 
 def unique_topk(chunks: DataFrame, vector: list[float], k: int = schema.CANDIDATES) -> DataFrame:
-    """As ``semantic_topk`` over rows of which some are delivered several times: ``k`` different ids.
+    """As ``semantic_topk``, but ``k`` different ids, whatever is delivered several times.
 
-    The head of the ranking is kept and counted; only if copies fill it is a longer one taken. No row
-    outside of it is shuffled.
+    Ids and vectors alone are scanned first, each task keeping its best ``k``; the other columns are read for the ids found.
     """
-    head = 2 * k
-    while True:
-        top = durable(semantic_topk(chunks, vector, head))
-        ids = top.select("id").distinct().count()
-        if ids >= k or top.count() < head:
-            return top.dropDuplicates(["id"]).orderBy(F.desc("score"), "id").limit(k)
-        head *= 4
+    rows = semantic_rows(chunks, len(vector)).select(F.lit(0).alias("by"), "id", F.col("embedding").cast("array<float>").alias("v"))
+    asked = chunks.sparkSession.createDataFrame([(0, 0, [float(x) for x in vector])], "by int, id bigint, v array<float>")
+    found = _meet_scan(rows, asked, k, "by").groupBy("id").agg(F.max("score").alias("score"))
+    top = durable(found.orderBy(F.desc(F.round("score", 9)), "id").limit(k))
+    ids = [r["id"] for r in top.select("id").collect()]  # at most ``k``
+    texts = semantic_rows(chunks, len(vector)).drop("embedding").where(F.col("id").isin(ids)).dropDuplicates(["id"])
+    return texts.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")
 
 
 class _Best:

@@ -172,7 +172,7 @@ class Engine:
         except Exception:
             vector = None
         if vector is not None:
-            top = search.semantic_topk(rows, vector)
+            top = search.unique_topk(rows, vector)
             asked = top.withColumn("query_id", F.lit(0)).withColumn("query", F.lit(query))
             results = ranking.thin_out(ranking.rerank(asked, F.col("query"), ["query_id"]), ["query_id"], limit).drop("query_id", "query")
             results = durable(results)  # at most ``limit`` rows
