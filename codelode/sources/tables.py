@@ -31,8 +31,11 @@ def roughly_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame
     """The rows whose key's hash cell is among those of ``wanted``: all that are in it, and by chance some more.
 
     Goes before an exact join to keep the other rows' wide columns out of its shuffle. The broadcast side
-    has at most ``FILTER_CELLS`` numbers, however large ``wanted`` is.
+    has at most ``FILTER_CELLS`` numbers, however large ``wanted`` is; of so many keys that nearly every cell is taken
+    none is sent, as the filter would keep all rows. ``wanted`` is counted, so it should be kept.
     """
+    if wanted.count() > 4 * FILTER_CELLS:
+        return rows
     cell = F.pmod(F.xxhash64(*keys), F.lit(FILTER_CELLS))
     cells = wanted.select(cell.alias("_cell")).distinct()
     return rows.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
