@@ -159,7 +159,10 @@ def actual_shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_faults(drawn: DataFrame, documents: DataFrame, targets: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """``source, max_repeats, unknown, repeated, beyond_cap, share_met`` per source that has been drawn from."""
+    """``source, max_repeats, unknown, repeated, beyond_cap, share_met`` per source that has been drawn from.
+
+    A share is met if it is off by no more than ``tolerance``, or than one document of the source, as none is cut.
+    """
     drawn = durable(drawn)
     own = documents.select("doc_id", "source").distinct()
     known = drawn.join(own.withColumn("known", F.lit(True)), ["doc_id", "source"], "left")
@@ -168,5 +171,9 @@ def mix_faults(drawn: DataFrame, documents: DataFrame, targets: DataFrame, toler
     checked = per_document.join(targets.select("source", "max_repeats"), "source").groupBy("source", "max_repeats").agg(
         count(F.col("known").isNull()).alias("unknown"), count(F.col("n") > 1).alias("repeated"), count(F.col("repeats") > F.col("max_repeats")).alias("beyond_cap")
     )
-    shares = actual_shares(drawn, targets).select("source", (F.abs(F.col("actual_share") - F.col("target_share")) <= tolerance).alias("share_met"))
+    largest = drawn.groupBy("source").agg(F.max("tokens").alias("largest"))
+    whole = drawn.agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] or 1
+    off = F.abs(F.col("actual_share") - F.col("target_share"))
+    met = (off <= tolerance) | (off * whole <= F.col("largest"))
+    shares = actual_shares(drawn, targets).join(largest, "source").select("source", met.alias("share_met"))
     return checked.join(shares, "source")

@@ -269,6 +269,6 @@ def p9_shares(spark, sf_dir):
     "SELECT t.source, t.max_repeats, 0::BIGINT AS unknown, 0::BIGINT AS repeated, 0::BIGINT AS beyond_cap, true AS share_met FROM mix_targets t WHERE EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0)",
 )
 def p9_invariants(spark, sf_dir):
-    """Per source: drawn documents that are not its own, those drawn in several rows, beyond the cap, and whether the share is met to 0.01."""
+    """Per source: drawn documents that are not its own, those drawn in several rows, beyond the cap, and whether the share is met to 0.01 or one document."""
     documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
     return mixing.mix_faults(p9_mix(spark, sf_dir), documents, targets)
