@@ -37,8 +37,10 @@ SAME_SHAPE = [
 ]
 #: Format characters that are visible or belong to emoji, and so are no invisible ones.
 _VISIBLE_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0xE0000, 0xE0080)}
-#: Copies of one identical text that are written out with all documents of the other texts; further ones with one.
+#: Copies of one identical text that ``same_looking_pairs`` pairs with all documents of the other texts; further ones with one.
 COPIES = 64
+#: Copies of one identical text that meet those of another together in ``all_same_looking_pairs``.
+BLOCK_COPIES = 1024
 
 
 class UnionFind:
@@ -202,9 +204,31 @@ def _hashed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return durable(forms.select(F.col("doc_id").alias("id"), F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"), F.sha2("text", 256).alias("text")))
 
 
+def all_same_looking_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id_a, doc_id_b``: all documents whose texts differ but have one form, smaller id first, however many copies there are.
+
+    Only hashes are shuffled, and ids. The different texts of a form are paired; their copies meet in blocks of
+    ``BLOCK_COPIES``, which are spread over the tasks, so that no task writes all pairs of two texts. An id with several
+    texts of a form has a row for each.
+    """
+    keys = ["f1", "f2"]
+    hashed = _hashed(documents, id_col, text_col)  # several joins read it
+    texts = hashed.groupBy(*keys, "text").agg(F.count("*").alias("copies"))
+    mixed = durable(texts.join(texts.groupBy(*keys).agg(F.count("*").alias("texts")).where("texts > 1"), keys))
+    pairs = pairs_within(mixed, keys, "text", "texts").toDF("a", "b")
+    blocks = mixed.select("text", F.ceil(F.col("copies") / BLOCK_COPIES).cast("int").alias("blocks"))
+    members = hashed.join(blocks, "text").groupBy("text", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).agg(F.collect_set("id").alias("ids"))
+    for side in ("a", "b"):
+        pairs = pairs.join(members.select(F.col("text").alias(side), F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"of_{side}")), side)
+    tasks = 2 * documents.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.repartition(tasks, "a", "block_a", "b", "block_b").select(F.explode("of_a").alias("x"), "of_b").select("x", F.explode("of_b").alias("y"))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
 def same_looking_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id_a, doc_id_b``: documents whose texts differ but have one form, smaller id first.
+    """``doc_id_a, doc_id_b``: enough pairs to connect all documents whose texts differ but have one form, smaller id first.
 
+    For callers who do not want every pair of many copies; no query uses it, ``all_same_looking_pairs`` leaves none out.
     Only hashes are shuffled. Every two different texts of a form are paired, however many there are, and so are
     all their copies, but that of one identical text only ``COPIES`` copies meet all documents of the other texts:
     the first of more does so for the others, each of which is paired with the first document of one other text.

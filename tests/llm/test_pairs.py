@@ -2,11 +2,12 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.llm import knn, lookalike, neardup, shingles
+from codelode.llm import knn, lookalike, neardup, queries, shingles
 from codelode.sources import tables
 
 VEC = "id bigint, embedding array<float>, query bigint, cosine string"
@@ -229,6 +230,18 @@ def test_no_copy_of_many_loses_its_links(spark):
     assert groups[999] == (0, 2) and groups[5001] == (0, 1001)
 
 
+def test_every_copy_is_paired_however_many_there_are(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lookalike, "BLOCK_COPIES", 16)
+    rows = [*((i, "a b") for i in range(150)), *((1000 + i, "a\u00a0b") for i in range(70)), (5000, "\u0430 b"), (5000, "\u0430 b"), (5001, "A b"), (None, "a b"), (5002, None)]
+    rows += [(6000, "c"), (6000, "\u0441"), (6001, "c"), (6002, "\uff43"), *((7000 + i, "d") for i in range(90))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in queries.p10_found(spark, str(tmp_path)).collect())
+    assert got == sorted(db.sql(queries.SQL["p10_found"]).fetchall()) and len(got) > 150 * 70
+    assert lookalike.all_same_looking_pairs(spark.createDataFrame(rows[:150], "doc_id bigint, text string")).count() == 0
+
+
 def test_same_shaped_letters_of_rare_alphabets(spark):
     frame = spark.createDataFrame([(1, "\u13aa\u13df"), (2, "AC"), (3, "\ua4ee\ua4da"), (4, "\u2c80C")], "doc_id bigint, text string")
     assert lookalike.same_looking_pairs(frame).count() == 6
